@@ -48,12 +48,26 @@ def _clean() -> None:
             return
 
 
+#: While a table is written, Spark drops each query's shuffle files as soon as it ends: what is written is the only copy needed.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, *by: str) -> None:
+    """df as Parquet at path, partitioned by the columns named."""
+    spark = df.sparkSession
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder, so that a lost executor costs no recomputation, and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(df.sparkSession, label)
+    write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def parts(spark: SparkSession) -> int:
