@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, packing, quality, simhash, token_store
+from . import decontam, langid, packing, quality, sharding, simhash, token_store, urlrep, warc
 from .common import new_path, table
 
 
@@ -34,10 +34,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrep.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -46,6 +60,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT *, octet_length(encode(h)) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None: hashing with XXH64, tokenizers, models and files are beyond DuckDB; tests/llm holds brute-force twins."""
-    return {}
+    """Only what DuckDB can say: XXH64, tokenizers, models and packing are beyond it; tests/llm holds brute-force twins."""
+    return {"op6_url_reputation": urlrep.oracle(), "op9_warc": _WARC_SQL}
