@@ -8,6 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
+    """The rows of docs whose doc_id isn't among gone's, with all columns of docs. A null doc_id names nothing, so its rows stay.
+
+    The ids are written first: Spark then knows their size, broadcasts them if it is below its threshold, and else
+    joins by shuffle.
+    """
+    ids = materialise(gone.select(F.col("doc_id").alias("gone_id")).distinct(), label)
+    return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti").select(*(docs[c] for c in docs.columns))
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

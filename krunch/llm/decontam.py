@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, without
 
 GRAM, BUDGET, LEAST = 10, 0.05, 24
 #: Folded characters of benchmark items that go to the executors at a time; a larger benchmark takes more passes.
@@ -233,5 +233,4 @@ def _split(texts: list[str | None]) -> Iterator[list[int]]:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no item occurs, with all columns of docs."""
-    found = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, contaminated(docs, benchmark), "contaminated")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, without
 
 BLOCK, GRAMS, BUCKETS = 1024, (2, 3, 4), 8192
 #: The training sample: about so many documents of each language, and so many blocks in all, at most. Landmarks are for all languages together.
@@ -25,6 +25,8 @@ _AT_ONCE = 256
 _PRIME = np.uint32(0x9E3779B1)
 _ODDS = [np.uint32(x) for x in (0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)]
 UNKNOWN = "und"
+#: Below this score a document is in none of the languages. Half is where the best decision value is zero; a line or two of a known language lies about there.
+LEAST_SCORE = 0.35
 
 
 def blocks(text: str) -> list[str]:
@@ -174,3 +176,11 @@ def identify(docs: DataFrame) -> DataFrame:
     """Trains on the rows not held out and predicts all: doc_id, held_out, lang_pred, score. A null doc_id isn't held out."""
     model = train(docs.where(~held_out()))
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The documents in a language that is known, with all columns of docs. Without any labelled row all stay."""
+    found = identify(docs)
+    if not docs.where("text is not null and lang is not null").limit(1).count():
+        return docs
+    return without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)), "foreign")

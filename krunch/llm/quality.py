@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, materialise
+from .common import as_bytes, batch, materialise, without
 
 ORDER, BITS = 4, 6
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -291,6 +291,5 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Rows that share a doc_id stand or fall together."""
-    gone = judge(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """The documents that are kept, with all columns of docs. Rows with one doc_id go if any of them fails."""
+    return without(docs, judge(docs).where("not kept"), "poor")

@@ -10,7 +10,7 @@ from . import decontam, html_crf, langid, packing, quality, sharding, simhash, t
 from .common import new_path, table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -22,7 +22,7 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-store")
-    token_store.write_store(table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), end_id=1)
+    token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
     return token_store.read_index(spark, path)
 
 
@@ -35,7 +35,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import as_bytes, batch, materialise
+from .common import as_bytes, batch, materialise, without
 from .graph import components
 
 SEED = 42
@@ -122,6 +122,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the first of their component; all columns of docs stay. A null doc_id is kept."""
-    firsts = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that are the first of their component, with all columns of docs. Rows with one doc_id are one document."""
+    return without(docs, near_duplicates(docs).where("doc_id <> component_id"), "duplicates")
