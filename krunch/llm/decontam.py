@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, without
+from .common import batch, sliced, without
 
 GRAM, BUDGET, LEAST = 10, 0.05, 24
 #: Folded characters of benchmark items that go to the executors at a time; a larger benchmark takes more passes.
 ITEM_BLOCK = 4_000_000
-_TEXT_BLOCK = 1 << 21
+_TEXT_BLOCK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
 
@@ -206,7 +206,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
-            for b in batches:
+            for b in sliced(batches):
                 ids, texts, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), []
                 for some in _split(texts):
                     rows += [(ids[some[d]], *rest) for d, *rest in search(shared.value, [texts[k] for k in some])]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, without
+from .common import batch, sliced, without
 
 BLOCK, GRAMS, BUCKETS = 1024, (2, 3, 4), 8192
 #: The training sample: about so many documents of each language, and so many blocks in all, at most. Landmarks are for all languages together.
@@ -131,7 +131,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     schema = pa.schema([("lang", pa.string()), ("bits", pa.binary())])
 
     def features(batches):
-        for b in batches:
+        for b in sliced(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not has_letter(text):
                     continue
@@ -155,7 +155,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).to_pylist()
             names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             some = [k for k, t in enumerate(texts) if model and has_letter(t)]

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, materialise, parts
+from .common import as_bytes, batch, materialise, parts, sliced
 from .tokenizing import encoder
 
 WINDOW = 1024
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_
     def tokenise(batches):
         enc = encoder(tokenizer)
         width = "<u2" if enc.vocabulary <= 1 << 16 else "<u4"
-        for b in batches:
+        for b in sliced(batches, 4096):
             keys, rows = [], []
             for ids in enc.encode(b.column(1)):
                 wide = ids.astype(np.uint64)
@@ -130,7 +130,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_
             pieces = [(ids[d], start, length, zlib.crc32(rows[d][start : start + length].astype("<u4").tobytes()), len(rows[d]), base + k, offset) for d, start, length, k, offset in packer.pack(rows)]
             return batch(out, *zip(*pieces, strict=True))
 
-        for b in batches:
+        for b in sliced(batches):
             for doc_id, raw in zip(b.column(0).to_pylist(), as_bytes(b.column(2)), strict=True):
                 ids.append(doc_id)
                 rows.append(np.frombuffer(raw, width))

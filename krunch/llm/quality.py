@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, materialise, without
+from .common import as_bytes, batch, materialise, sliced, without
 
 ORDER, BITS = 4, 6
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -29,7 +29,7 @@ WIDTH, FLOOR, DOWN, SHORT, BIN = 12.0, 0.15, 3.0, 400, 1e-3
 OUTSIDE = 7
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _SPACES = re.compile(rb"[\x20\x09-\x0D]")
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,12 +110,12 @@ def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
             keys, of = np.unique(every, return_inverse=True)
             sums, waiting = np.bincount(of, weights=many, minlength=len(keys)).astype(np.int64), []
 
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(0).to_pylist()
             for some in _split(texts):
                 found = grams([texts[k] for k in some])[0]
                 waiting.append(np.unique(found[found & ((1 << BITS) - 1) != OUTSIDE], return_counts=True))
-                if len(waiting) == 16:
+                if len(waiting) == 32:
                     merge()
         merge()
         for at in range(0, len(keys), 1 << 16):
@@ -239,7 +239,7 @@ def measure(docs: DataFrame, model: KneserNey | None, id_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             counts = zip(*map(base_counts, as_bytes(b.column(1))), strict=True) if b.num_rows else [[]] * 5
             scores = shared.value.score(b.column(1).to_pylist()) if shared.value else [None] * b.num_rows
             yield batch(schema, b.column(0), b.column(2), *counts, scores)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import as_bytes, batch, materialise, without
+from .common import as_bytes, batch, materialise, sliced, without
 from .graph import components
 
 SEED = 42
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             fps = np.fromiter((fingerprint(t, words) for t in as_bytes(b.column(1))), np.uint64, b.num_rows)
             yield batch(schema, b.column(0), pa.array(fps.view(np.int64)))
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, materialise, parts, write
+from .common import as_bytes, batch, materialise, parts, sliced, write
 from .tokenizing import crc32_joined, encoder
 
 #: A chunk ends where the lowest bits of the rolling hash are ones: every 256 ids on average, behind 32 at least, 4096 at most.
@@ -101,7 +101,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
         task, row, seen = TaskContext.get().partitionId(), 0, set()
         enc = encoder(tokenizer)
         width = "<u2" if enc.vocabulary <= 1 << 16 else "<u4"
-        for b in batches:
+        for b in sliced(batches, 4096):
             ids_of = b.column(0).to_pylist()
             rows: list[tuple] = []
             for doc_id, ids in zip(ids_of, enc.encode(b.column(1)), strict=True):
