@@ -24,8 +24,7 @@ class BitReader:
 
     def read(self, n: int) -> int:
         end = self.at + n
-        if end > self.size:
-            self.at = self.size
+        if end > self.size:  # nothing of a number that isn't whole is taken
             raise CodecError(UNEXPECTED_EOF, "the input ends too early")
         first, last = self.at >> 3, -(-end // 8)
         if self.big:

@@ -197,8 +197,8 @@ def decompress(data: bytes, most: int | None = None) -> tuple[bytes, int, CodecE
                 break
             nibbles = bits.read(2)
             if nibbles == 3:
-                if last or bits.read(1):
-                    raise corrupted("reserved bit" if not last else "metadata in the last block")
+                if bits.read(1):
+                    raise corrupted("reserved bit")
                 size = bits.read(2)
                 skip = bits.read(8 * size) + 1 if size else 0
                 if size > 1 and skip - 1 < 1 << 8 * (size - 1):

@@ -257,7 +257,7 @@ def decompress(data: bytes, most: int | None = None) -> tuple[bytes, int, CodecE
             if not 1 <= level <= 9:
                 raise corrupted(f"invalid block size: {level}")
             total = 0
-            while (magic := bits.read(48)) == BLOCK_MAGIC:
+            while (magic := bits.read(32) << 16 | bits.read(16)) == BLOCK_MAGIC:
                 want = bits.read(32)
                 block, fault = rle1_decode(_block(bits, level))
                 out += block

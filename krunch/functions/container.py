@@ -9,7 +9,7 @@ from __future__ import annotations
 import zlib
 from dataclasses import dataclass, field
 
-from . import meta
+from . import deflate, meta
 from .checksums import get_uvarint, put_uvarint
 from .errors import CORRUPTED, INVALID, UNEXPECTED_EOF, CodecError, corrupted
 
@@ -34,19 +34,28 @@ def compress_chunk(data: bytes, level: int = 0) -> bytes:
     return made.compress(data) + made.flush(zlib.Z_SYNC_FLUSH)
 
 
-def inflate_chunk(comp: bytes, raw_size: int | None = None, strict: bool = True) -> bytes:
-    """The chunk's bytes; checks the sync marker and, where given, the size. strict: the chunk must not end the stream itself."""
-    if comp[-4:] != SYNC:
-        raise corrupted("no sync marker at the end of a chunk")
+def _inflate(comp: bytes, raw_size: int | None, strict: bool) -> tuple[bytes, CodecError | None]:
+    """What a chunk inflates to, and what is wrong with it."""
     made = zlib.decompressobj(-15)
     try:
         out = made.decompress(comp + END_BLOCK) + made.flush()
-    except zlib.error as e:
-        raise corrupted(str(e)) from e
+    except zlib.error:
+        out, _, fault = deflate.inflate(comp + END_BLOCK)
+        return out, fault or corrupted("not a chunk")
+    if comp[-4:] != SYNC:
+        return out, corrupted("no sync marker at the end of a chunk")
     if strict and (not made.eof or made.unused_data):
-        raise corrupted("a chunk doesn't end where it should")
+        return out, corrupted("a chunk doesn't end where it should")
     if raw_size is not None and len(out) != raw_size:
-        raise corrupted("mismatching chunk size")
+        return out, corrupted("mismatching chunk size")
+    return out, None
+
+
+def inflate_chunk(comp: bytes, raw_size: int | None = None, strict: bool = True) -> bytes:
+    """The chunk's bytes; checks the sync marker and, where given, the size. strict: the chunk must not end the stream itself."""
+    out, fault = _inflate(comp, raw_size, strict)
+    if fault:
+        raise fault
     return out
 
 
@@ -246,7 +255,10 @@ def decompress(data: bytes, most: int | None = None) -> tuple[bytes, int, CodecE
     try:
         for r in read_index(data):
             if r.type == DEFLATE:
-                out += inflate_chunk(data[last.comp_end : r.comp_end], r.raw_end - last.raw_end)
+                raw, fault = _inflate(data[last.comp_end : r.comp_end], r.raw_end - last.raw_end, True)
+                out += raw
+                if fault:
+                    raise fault
                 if most is not None and len(out) > most:
                     raise CodecError(INVALID, f"more than {most} bytes of output")
             last = r

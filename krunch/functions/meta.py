@@ -70,7 +70,7 @@ def encode_block(data: bytes, final: str = NIL) -> bytes:
         out.write(0, 3)
     out.write(2, 3)
     out.write(0, 1)  # the first symbol, which is always zero
-    before = None
+    before = 0
     for run in run_lengths(symbols(data, h, final != NIL, inverted)[1:]):
         bit, left = int(run > 0), abs(run)
         while left:
