@@ -12,18 +12,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) links over long nodes -> (node, root): root is the smallest node reachable. Nodes without a link are left out.
 
     Each round points every node at its smallest neighbour (never at a larger one, so there is no cycle),
-    follows the pointers three times over, and rewrites the links between the nodes pointed at. Only nodes
-    that are the least of their neighbourhood stay, so the rounds grow with the logarithm of the longest
-    chain. Links are kept distinct; hubs are met by partial aggregation and by skew joins, never by lists.
+    doubles the pointers until all end at nodes without one, and rewrites the links between these. They are
+    the least of their neighbourhoods, half of the nodes at most, so rounds and doublings each grow with a
+    logarithm. Links are kept distinct; hubs are met by partial aggregation and by skew joins, never by lists.
     """
     links = materialise(_oriented(edges.select("a", "b")), "links")
     maps: list[DataFrame] = []
     while links.limit(1).count():
         up = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
-        for _ in range(3):
+        moving = True
+        while moving:
             nxt = up.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
-            up = up.join(nxt, "to", "left").select("node", F.coalesce("beyond", "to").alias("to"))
-            up = materialise(up, "pointers")
+            step = materialise(up.join(nxt, "to", "left").select("node", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved")), "pointers")
+            moving = bool(step.where("moved").limit(1).count())
+            up = step.select("node", "to")
         maps.append(up)
         for end in ("a", "b"):
             links = links.join(up.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
