@@ -40,7 +40,8 @@ def test_rules(spark):
 def test_reputation(spark):
     """A host that is surely bad is blocked, one with few labels is held by its domain's prior."""
     rows, labels = [], []
-    for host, n, bad in (("bad.site.org", 80, 78), ("good.site.org", 80, 2), ("new.site.org", 1, 1), ("other.uk", 40, 4), ("none.org", 0, 0)):
+    usual = [(f"h{k}.site.org", 40, 8 + k % 5) for k in range(12)]
+    for host, n, bad in (("bad.site.org", 80, 64), ("good.site.org", 80, 2), ("new.site.org", 1, 1), ("other.uk", 40, 4), ("none.org", 0, 0), *usual):
         for k in range(max(n, 1)):
             i = len(rows)
             rows.append((i, f"http://{host}/{k}"))
