@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from . import deflate, meta
 from .checksums import get_uvarint, put_uvarint
-from .errors import CORRUPTED, INVALID, UNEXPECTED_EOF, CodecError, corrupted
+from .errors import CLOSED, CORRUPTED, INVALID, UNEXPECTED_EOF, CodecError, corrupted
 
 #: What ends a raw DEFLATE stream, a sync marker, the footer's magic.
 END_BLOCK, SYNC, FOOTER = b"\x01\x00\x00\xff\xff", b"\x00\x00\xff\xff", b"XF\x00"
@@ -108,6 +108,66 @@ def compress(data: bytes, chunk_size: int = 0, index_size: int = 0, level: int =
     return made.close()
 
 
+EMPTY_BLOCK = b"\x00" + SYNC
+FLUSH_SYNC, FLUSH_FULL, FLUSH_INDEX = "SYNC", "FULL", "INDEX"
+
+
+class StreamWriter:
+    """A container written as data arrives. Chunks end at chunk_size raw bytes, when the next byte comes, or when flushed.
+
+    flush: SYNC lets a reader have all so far and keeps the history; FULL ends the chunk; INDEX also writes the index.
+    """
+
+    def __init__(self, chunk_size: int = 0, index_size: int = 0, level: int = 0):
+        if chunk_size < 0:
+            raise CodecError(INVALID, f"chunk size {chunk_size}")
+        self.chunk_size, self.level, self.closed = chunk_size or DEFAULT_CHUNK, zlib_level(level), False
+        self.made = Writer(index_size)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.part, self.held, self.raw = zlib.compressobj(self.level, zlib.DEFLATED, -15), bytearray(), 0
+
+    def _open(self) -> None:
+        if self.closed:
+            raise CodecError(CLOSED, "the stream is closed")
+
+    def write(self, data: bytes) -> None:
+        self._open()
+        while data:
+            room = self.chunk_size - self.raw
+            if not room:
+                self.flush(FLUSH_FULL)
+                continue
+            self.held += self.part.compress(data[:room])
+            self.raw += len(data[:room])
+            data = data[room:]
+
+    def flush(self, mode: str) -> None:
+        self._open()
+        if mode == FLUSH_INDEX:
+            if self.raw or self.held:
+                self.flush(FLUSH_FULL)
+            self.made.index()
+        elif mode in (FLUSH_SYNC, FLUSH_FULL):
+            self.held += self.part.flush(zlib.Z_SYNC_FLUSH) or EMPTY_BLOCK
+            if mode == FLUSH_FULL:
+                held, raw = bytes(self.held), self.raw
+                self._begin()
+                self.made.chunk(held, raw)
+        else:
+            raise CodecError(INVALID, f"flush mode {mode}")
+
+    def close(self) -> bytes:
+        """Ends the stream and returns all of it; again, the same."""
+        if not self.closed:
+            if self.raw or self.held or self.made.pending:
+                self.flush(FLUSH_INDEX)
+            self.closed = True
+            self.whole = self.made.close()
+        return self.whole
+
+
 def decode_footer(data: bytes) -> tuple[int, int]:
     """(place of the footer, size of the last index)."""
     tail = data[-TAIL:]

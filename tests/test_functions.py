@@ -231,6 +231,37 @@ def test_container_index_and_ranges():
     assert container.around(records, 99)[1].type == container.UNKNOWN
 
 
+# fixed values: what writers of the format put out for these writes and flushes
+WRITTEN = [
+    ([], "0d008705000048c82a51e8ff37dbf1"),
+    (["SYNC"], "000000ffff000000ffff34c086050020916cb2a50bd20369da192deaff3bda05f81dc08605002021ab44219b4aff7fd6de3bf8"),
+    (["INDEX"], "04c086050020191d53a1a508c9e8ff5bda7bf815c08605002021ab44219ba2ff2f6bef5df8"),
+    (["FULL"] * 3, "000000ffff000000ffff000000ffff148086058044655366e3817441ba205d504a83348c445ddcde7b6ffc15c08605002021ab44a103aaff2f6bef5df8"),
+]
+
+
+@pytest.mark.parametrize("case", range(len(WRITTEN)))
+def test_flushes_without_data(case):
+    made = container.StreamWriter()
+    for mode in WRITTEN[case][0]:
+        made.flush(mode)
+    assert made.close().hex() == WRITTEN[case][1]
+
+
+def test_flushes_with_data():
+    made = container.StreamWriter(chunk_size=20)
+    for step in (b"the quick", "SYNC", b" brown fox", "FULL", "FULL", b" jumped over the fence and ran", "INDEX", b" lazy dog"):
+        made.flush(step) if isinstance(step, str) else made.write(step)
+    comp = made.close()
+    raw = b"the quick brown fox jumped over the fence and ran lazy dog"
+    assert container.decompress(comp) == (raw, len(comp), None) and made.close() == comp
+    assert [r.raw_end for r in container.read_index(comp) if r.type == container.DEFLATE] == [19, 19, 39, 49, 58]
+    with pytest.raises(CodecError):
+        made.write(b"x")
+    with pytest.raises(CodecError):
+        container.StreamWriter().flush("LATER")
+
+
 def test_empty_container():
     assert container.compress(b"").hex() == "0d008705000048c82a51e8ff37dbf1"
     assert container.decompress(container.compress(b"")) == (b"", 15, None)
