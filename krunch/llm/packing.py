@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_
     def tokenise(batches):
         enc = encoder(tokenizer)
         width = "<u2" if enc.vocabulary <= 1 << 16 else "<u4"
-        for b in sliced(batches, 4096):
+        for b in sliced(batches, 8192):
             keys, rows = [], []
             for ids in enc.encode(b.column(1)):
                 wide = ids.astype(np.uint64)

@@ -101,7 +101,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
         task, row, seen = TaskContext.get().partitionId(), 0, set()
         enc = encoder(tokenizer)
         width = "<u2" if enc.vocabulary <= 1 << 16 else "<u4"
-        for b in sliced(batches, 4096):
+        for b in sliced(batches, 8192):
             ids_of = b.column(0).to_pylist()
             rows: list[tuple] = []
             for doc_id, ids in zip(ids_of, enc.encode(b.column(1)), strict=True):

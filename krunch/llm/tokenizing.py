@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Cached pieces; beyond that the cache starts anew. About 60 MB.
-CACHE = 300_000
+#: Cached pieces; beyond that the cache starts anew. About 120 MB.
+CACHE = 600_000
 #: Bytes of text gathered at once.
 BLOCK = 12 << 20
 _LONGEST = 48
