@@ -293,6 +293,19 @@ def around(records: list[Record], k: int) -> tuple[Record, Record]:
     return (records[k - 1] if k else zero), records[k]
 
 
+START, CURRENT, FINISH = 0, 1, 2
+
+
+def seek(position: int, size: int, offset: int, whence: int) -> int:
+    """A new position from the start, the current one or the end. Beyond the end is fine; before the start is invalid."""
+    if whence not in (START, CURRENT, FINISH):
+        raise CodecError(INVALID, f"whence {whence}")
+    out = offset + (0, position, size)[whence]
+    if out < 0:
+        raise CodecError(INVALID, "negative position")
+    return out
+
+
 def read_range(data: bytes, offset: int, length: int) -> bytes:
     """Raw bytes from an offset on, inflating only the chunks that hold them. Beyond the end: nothing. Negative: invalid."""
     if offset < 0 or length < 0:

@@ -194,3 +194,17 @@ def test_plans(spark, streams):
 def test_transform_keeps_nulls(streams):
     rows = streams.select("stream_id", transform(F.col("data"), len, "int").alias("n")).orderBy("stream_id").collect()
     assert [r.n for r in rows] == [23, 0, None, 10240, 6]
+
+
+def test_damage(streams):
+    from krunch.operators import faults
+
+    made = streams.where("stream_id in (1, 4)").withColumn("c", encode(F.col("data"), "deflate"))
+    row = made.select(
+        decode(faults.truncate(F.col("c"), F.octet_length("c") - 1), "deflate").alias("cut"),
+        decode(faults.trailing(F.col("c"), b"zz"), "deflate").alias("more"),
+        F.octet_length("c").alias("n"),
+        faults.first_difference(F.col("c"), faults.flip(F.col("c"))).alias("at"),
+        faults.first_difference(F.col("c"), F.col("c")).alias("none"),
+    ).collect()[0]
+    assert row.cut.err.code == "UNEXPECTED_EOF" and row.more.in_offset == row.n and row.at == 7919 % (8 * row.n) // 8 and row.none is None

@@ -328,3 +328,12 @@ def test_bitgen(script, want):
             bitgen.parse(script)
     else:
         assert bitgen.parse(script).hex() == want
+
+
+@pytest.mark.parametrize(("move", "want"), [((5, 9, 3, 0), 3), ((5, 9, 3, 1), 8), ((5, 9, -3, 2), 6), ((5, 9, 30, 2), 39), ((5, 9, -6, 1), None), ((5, 9, 0, -1), None)])
+def test_seek(move, want):
+    if want is None:
+        with pytest.raises(CodecError):
+            container.seek(*move)
+    else:
+        assert container.seek(*move) == want
