@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, materialise, write
+from .common import as_bytes, batch, materialise
 
 REVISIT = 100
 #: Records of one file at most, which bounds the file.
@@ -38,13 +38,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """A record for every row of pages. A null page is empty; line ends in a url become blanks; a null url is empty."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.translate(F.col(url_col).cast("string"), "\r\n", "  "), F.lit("")).alias("url"), html.alias("html"))
-    digests = source.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").alias("bytes"))
-    large = materialise(digests.where(F.col("bytes") >= REVISIT).select("page_id", "digest"), "digests")
+    source = source.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
+    large = materialise(source.where(F.octet_length("html") >= REVISIT).select("page_id", "digest"), "digests")
     firsts = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
     # of pages that are copies only; written, so that Spark knows its size and picks the join by it
-    copies = materialise(large.join(firsts, "digest").where("page_id <> first").select("page_id", "first").distinct(), "copies")
-    rows = source.join(copies, "page_id", "left")
-    digest = F.sha2(F.col("html").cast("binary"), 256)
+    copies = materialise(large.join(firsts, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct(), "copies")
+    rows = source.join(copies, ["page_id", "digest"], "left")
     revisit = F.col("first").isNotNull()
     payload = F.when(revisit, F.lit("")).otherwise(F.col("html"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"))
@@ -53,7 +52,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         ("WARC-Record-ID", _urn(F.col("page_id"))),
         ("WARC-Date", F.lit(_DATE)),
         ("WARC-Target-URI", F.col("url")),
-        ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
+        ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         ("WARC-Refers-To", F.when(revisit, _urn(F.col("first")))),
         ("X-Refers-To-Page", F.when(revisit, F.col("first").cast("string"))),

@@ -132,6 +132,12 @@ def test_archives(spark):
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == (len(data), hashlib.sha256(data).hexdigest(), "revisit" if back else "response", first if back else None)
 
 
+def test_repeated_page_ids(spark):
+    big, other = "a payload that two pages have " * 9, "another payload of one of them " * 9
+    got = warc.read_archives(spark, archive(spark, [(1, "u", big), (2, "u", big), (2, "u", other), (1, "u", big)])).collect()
+    assert sorted((r.page_id, r.record_type, r.payload_bytes) for r in got) == [(1, "response", len(big)), (1, "response", len(big)), (2, "response", len(other)), (2, "revisit", len(big))]
+
+
 def test_damaged_archive(spark):
     path = archive(spark, [(k, "u", f"page {k} " * 30) for k in range(9)]).removeprefix("file://")
     name = next(os.path.join(path, f) for f in sorted(os.listdir(path)) if f.startswith("part-") and os.path.getsize(os.path.join(path, f)))
