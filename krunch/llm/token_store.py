@@ -67,10 +67,8 @@ def merkle(leaves) -> bytes:
     return tree.root()
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream, by content: the hash covers the last eight ids."""
-    if not len(ids):
-        return []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind which a chunk may end: where the hash of the last eight ids has its low bits set."""
     with np.errstate(over="ignore"):
         h = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
         h ^= h >> np.uint64(29)
@@ -78,15 +76,38 @@ def cut(ids: np.ndarray) -> list[int]:
         for step in (1, 2, 4):  # each doubles the window
             h[step:] += h[:-step] * power
             power = power * power
+    return np.flatnonzero((h >> np.uint64(32)) & np.uint64(MASK) == MASK) + 1
+
+
+def chunk_ends(places: list[int], length: int) -> list[int]:
+    """Ends of the chunks of an id stream from its marks. Marks before LEAST don't count, so it doesn't matter what stood before the stream."""
     ends, last = [], 0
-    for at in (np.flatnonzero((h >> np.uint64(32)) & np.uint64(MASK) == MASK) + 1).tolist():
+    for at in places:
         if at - last < LEAST:
             continue
         ends += range(last + MOST, at, MOST)
         ends.append(at)
         last = at
-    ends += range(last + MOST, len(ids), MOST)
-    return ends if ends and ends[-1] == len(ids) else [*ends, len(ids)]
+    ends += range(last + MOST, length, MOST)
+    return ends if not length or ends and ends[-1] == length else [*ends, length]
+
+
+def cut(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream, by content."""
+    return chunk_ends(marks(ids).tolist(), len(ids))
+
+
+def _groups(streams, size: int = 1 << 19):
+    """(number of the first, id streams) with about size ids in all; a longer stream stands alone."""
+    first, some, held = 0, [], 0
+    for ids in streams:
+        if some and held + len(ids) > size:
+            yield first, some
+            first, some, held = first + len(some), [], 0
+        some.append(ids)
+        held += len(ids)
+    if some:
+        yield first, some
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -98,23 +119,31 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     schema = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("n", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("digests", pa.list_(pa.binary()))])
 
     def tokenise(batches):
+        end_mark = np.array([end_id], np.uint32)
         task, row, seen = TaskContext.get().partitionId(), 0, set()
         enc = encoder(tokenizer)
         width = "<u2" if enc.vocabulary <= 1 << 16 else "<u4"
         for b in sliced(batches, 8192):
             ids_of = b.column(0).to_pylist()
             rows: list[tuple] = []
-            for doc_id, ids in zip(ids_of, enc.encode(b.column(1)), strict=True):
-                ids, last, digests = np.append(ids, np.uint32(end_id)), 0, []
-                for end in cut(ids):
-                    data = ids[last:end].astype(width).tobytes()
-                    digests.append(name := digest(data))
-                    if name not in seen:  # of this task; the shuffle meets the rest
-                        seen.add(name)
-                        rows.append((0, name, end - last, data, None, None))
-                    last = end
-                rows.append((1, b"%d.%d" % (task, row), len(ids), None, doc_id, digests))
-                row += 1
+            for first, group in _groups(enc.encode(b.column(1))):
+                parts = [x for ids in group for x in (ids, end_mark)]
+                stream = np.concatenate(parts)  # of several documents: their marks are found at once
+                borders = np.cumsum([0, *(len(x) + 1 for x in group)]).tolist()
+                places = marks(stream)
+                firsts = np.searchsorted(places, borders, "right").tolist()
+                stream = stream.astype(width)
+                for k in range(len(group)):
+                    ids, last, digests = stream[borders[k] : borders[k + 1]], 0, []
+                    for end in chunk_ends((places[firsts[k] : firsts[k + 1]] - borders[k]).tolist(), len(ids)):
+                        data = ids[last:end].tobytes()
+                        digests.append(name := digest(data))
+                        if name not in seen:  # of this task; the shuffle meets the rest
+                            seen.add(name)
+                            rows.append((0, name, end - last, data, None, None))
+                        last = end
+                    rows.append((1, b"%d.%d" % (task, row), len(ids), None, ids_of[first + k], digests))
+                    row += 1
                 if len(rows) >= 4096:
                     yield batch(schema, *zip(*rows, strict=True))
                     rows = []
