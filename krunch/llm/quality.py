@@ -65,34 +65,42 @@ def _fold() -> np.ndarray:
 _FOLD = _fold()
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The packed four-grams that end at each character of each text, and each text's length. Three borders stand before a text."""
+def grams(texts: list[str], skips: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The packed four-grams that end at each character of each text, and how many each has. Three borders stand before a
+    text; the first skips[k] characters of text k are context only."""
     pad = "\0" * (ORDER - 1)
     codes = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le"), "<u4")
     symbols = np.where(codes < len(_FOLD), _FOLD[np.minimum(codes, len(_FOLD) - 1)], 38 + codes % 22).astype(np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.cumsum(lengths + ORDER - 1) - lengths - ORDER + 1
-    symbols[(starts[:, None] + np.arange(ORDER - 1)).reshape(-1)] = 0
+    own = np.ones(len(symbols), bool)
+    for k in range(ORDER - 1):
+        symbols[starts + k] = 0
+        own[starts + k] = False
+    if skips is not None:
+        for k, n in enumerate(skips):
+            own[starts[k] + ORDER - 1 : starts[k] + ORDER - 1 + n] = False
+        lengths = lengths - np.array(skips, np.int64)
     capital = (symbols >= 34) & (symbols < 38)
     symbols[1:][capital[1:] & capital[:-1]] = OUTSIDE
     packed = symbols[ORDER - 1 :].copy() if len(symbols) >= ORDER else np.zeros(0, np.uint32)
     for k in range(1, ORDER):
         packed |= symbols[ORDER - 1 - k : len(symbols) - k] << np.uint32(BITS * k)
-    own = np.ones(len(symbols), bool)
-    own[(starts[:, None] + np.arange(ORDER - 1)).reshape(-1)] = False
     return packed[own[ORDER - 1 :]], lengths
 
 
-def _split(texts: list[str | None]):
-    """Index lists of texts with some megabytes of characters in all; a longer one stands alone."""
+def _blocks(texts: list[str | None]):
+    """Lists of (number of the text, piece, skip) with about a block of characters in all. Pieces of a long text overlap by a gram, context and what that hangs on."""
     some, size = [], 0
     for k, t in enumerate(texts):
-        if t:
-            if some and size + len(t) > _BLOCK:
+        for at in range(0, len(t or ""), _BLOCK):
+            skip = min(ORDER, at)
+            piece = t[at - skip : at + _BLOCK]
+            if some and size + len(piece) > _BLOCK:
                 yield some
                 some, size = [], 0
-            some.append(k)
-            size += len(t)
+            some.append((k, piece, skip))
+            size += len(piece)
     if some:
         yield some
 
@@ -112,8 +120,9 @@ def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         for b in sliced(batches):
             texts = b.column(0).to_pylist()
-            for some in _split(texts):
-                found = grams([texts[k] for k in some])[0]
+            for some in _blocks(texts):
+                _, pieces, skips = zip(*some, strict=True)
+                found = grams(list(pieces), list(skips))[0]
                 waiting.append(np.unique(found[found & ((1 << BITS) - 1) != OUTSIDE], return_counts=True))
                 if len(waiting) == 32:
                     merge()
@@ -183,13 +192,14 @@ class KneserNey:
 
     def score(self, texts: list[str | None]) -> list[float | None]:
         """Mean negative log probability of a character: the log of the perplexity. None without characters."""
-        out: list[float | None] = [None] * len(texts)
-        for some in _split(texts):
-            packed, lengths = grams([texts[k] for k in some])
-            sums = np.add.reduceat(self.log_probs(packed).astype(np.float64), np.cumsum(lengths) - lengths)
-            for k, x in zip(some, (-sums / lengths).tolist(), strict=True):
-                out[k] = x
-        return out
+        sums = [0.0] * len(texts)
+        for some in _blocks(texts):
+            numbers, pieces, skips = zip(*some, strict=True)
+            packed, lengths = grams(list(pieces), list(skips))
+            found = np.add.reduceat(self.log_probs(packed).astype(np.float64), np.cumsum(lengths) - lengths)
+            for k, x in zip(numbers, found.tolist(), strict=True):
+                sums[k] -= x
+        return [x / len(t) if t else None for x, t in zip(sums, texts, strict=True)]
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> KneserNey | None:

@@ -15,6 +15,7 @@ connection, which is all that components need.
 
 from __future__ import annotations
 
+import re
 from itertools import islice, repeat
 
 import numpy as np
@@ -30,7 +31,20 @@ from .graph import components
 SEED = 42
 #: More different fingerprints than this with one segment value are linked through centres.
 CROWD = 64
-_BLOCK = 1 << 16
+_BLOCK, _PART = 1 << 16, 4 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _words(text: bytes):
+    """Lists of the words of a text, from some megabytes at a time."""
+    at = 0
+    while at < len(text):
+        end = at + _PART
+        if end < len(text):
+            border = _SPACE.search(text, end)
+            end = border.start() if border else len(text)
+        yield text[at:end].lower().split()
+        at = end
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -38,18 +52,22 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
 
     Fewer words than a shingle takes: one shingle of all of them. No word, or null: zero.
     """
-    found = text.lower().split() if text else []
-    if not found:
-        return 0
-    if len(found) < words:
-        shingles, total = iter([b" ".join(found)]), 1
-    else:
-        shingles, total = map(b" ".join, zip(*(found[i:] for i in range(words)))), len(found) - words + 1
-    hashes = map(xxh64_intdigest, shingles, repeat(SEED))
-    ones = np.zeros(64, np.int64)
-    while len(block := np.fromiter(islice(hashes, _BLOCK), np.uint64)):
-        bits = np.unpackbits(block.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.uint32)
+    ones, total, last = np.zeros(64, np.int64), 0, []
+
+    def add(shingles):
+        nonlocal total
+        hashes = map(xxh64_intdigest, shingles, repeat(SEED))
+        while len(block := np.fromiter(islice(hashes, _BLOCK), np.uint64)):
+            bits = np.unpackbits(block.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones[:] += bits.sum(axis=0, dtype=np.uint32)
+            total += len(block)
+
+    for found in _words(text or b""):
+        found = last + found
+        add(map(b" ".join, zip(*(found[i:] for i in range(words)))))
+        last = found[max(0, len(found) - words + 1) :]
+    if not total and last:
+        add([b" ".join(last)])
     return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
 
 

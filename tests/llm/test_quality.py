@@ -43,6 +43,17 @@ def test_model_is_a_distribution():
     assert known < odd - 1
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abc AB#.") for _ in range(n)) for n in (1, 2, 3, 4, 5, 9, 10, 11, 40, 200)]
+    whole, lengths = quality.grams(texts)
+    model = quality.KneserNey.of(*np.unique(whole, return_counts=True))
+    want = model.score([None, *texts, ""])
+    monkeypatch.setattr(quality, "_BLOCK", 10)
+    assert sorted(g for some in quality._blocks(texts) for g in quality.grams([p for _, p, _ in some], [n for _, _, n in some])[0].tolist()) == sorted(whole.tolist())
+    assert model.score([None, *texts, ""]) == pytest.approx(want) and want[0] is None and want[-1] is None
+
+
 def test_counts_of_model(spark, make):
     texts = [None, "", "ab", "ab", "abc " * 50]
     rows = {r.gram: r.n for r in quality.count(make(list(enumerate(texts)))).collect()}

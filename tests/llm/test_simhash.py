@@ -71,6 +71,12 @@ def test_against_brute_force(make, corpus):
     assert rows_of(simhash.near_duplicates(make(corpus))) == brute(corpus)
 
 
+def test_long_texts_in_parts(corpus, monkeypatch):
+    for part in (1, 7, 50):
+        monkeypatch.setattr(simhash, "_PART", part)
+        assert all(simhash.fingerprint(None if t is None else t.encode()) == fingerprint(t) for _, t in corpus[:40])
+
+
 def test_crowded_segments(make, corpus, monkeypatch):
     """With every segment value crowded, all links come from common centres."""
     fps = make(corpus).sparkSession.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in {fingerprint(t) for _, t in corpus}], "fp long")
