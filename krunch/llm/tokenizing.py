@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Cached pieces; beyond that the cache starts anew. About 120 MB.
-CACHE = 600_000
+#: Cached pieces; beyond that the cache starts anew. About 80 MB.
+CACHE = 400_000
 #: Bytes of text gathered at once.
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 _LONGEST = 48
 _TAIL = ".,;:!?$%&*#"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
