@@ -5,6 +5,7 @@ The decoder returns what it decoded before a fault, which C libraries throw away
 
 from __future__ import annotations
 
+import re
 from itertools import groupby
 
 import numpy as np
@@ -15,12 +16,16 @@ from .errors import CORRUPTED, DEPRECATED, UNEXPECTED_EOF, CodecError, corrupted
 
 #: Fixed values of the format.
 BLOCK, GROUP, LONGEST_CODE = 100_000, 50, 20
+#: Four equal bytes and the count behind them.
+_FOUR = re.compile(rb"(.)\1\1\1(.?)", re.S)
 BLOCK_MAGIC, END_MAGIC = 0x314159265359, 0x177245385090
 
 
 def rle1_encode(data: bytes, limit: int | None = None) -> tuple[bytes, int, bool]:
     """Runs of 4 to 255 bytes become four bytes and a count. (output, bytes taken, whether limit stopped it)."""
-    out, taken, room = bytearray(), 0, limit if limit is not None else 1 << 62
+    if limit is None:
+        return _rle1_whole(data), len(data), False
+    out, taken, room = bytearray(), 0, limit
     for value, run in groupby(data):
         left = sum(1 for _ in run)
         while left:
@@ -38,21 +43,34 @@ def rle1_encode(data: bytes, limit: int | None = None) -> tuple[bytes, int, bool
     return bytes(out), taken, False
 
 
+def _rle1_whole(data: bytes) -> bytes:
+    values = np.frombuffer(data, np.uint8)
+    if not len(values):
+        return b""
+    first = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1])
+    runs = np.diff(np.append(first, len(values)))
+    full, rest = np.divmod(runs, 255)
+    sizes = 5 * full + np.where(rest < 4, rest, 5)
+    out, ends = np.repeat(values[first], sizes), np.cumsum(sizes)
+    counted = rest >= 4
+    out[ends[counted] - 1] = rest[counted] - 4
+    for start, n in zip((ends - sizes)[full > 0].tolist(), full[full > 0].tolist(), strict=True):
+        out[start + 4 : start + 5 * n : 5] = 251
+    return out.tobytes()
+
+
 def rle1_decode(data: bytes) -> tuple[bytes, CodecError | None]:
     """The inverse, for counts up to 255. A run of four at the end without its count is corrupted."""
-    out, at, last, run = bytearray(), 0, -1, 0
-    while at < len(data):
-        value = data[at]
-        at += 1
-        run = run + 1 if value == last else 1
-        last = value
-        out.append(value)
-        if run == 4:
-            if at == len(data):
-                return bytes(out), corrupted("missing terminating run-length repeater")
-            out += bytes([value]) * data[at]
-            at, last, run = at + 1, -1, 0
-    return bytes(out), None
+    fault = None
+
+    def grow(m: re.Match) -> bytes:
+        nonlocal fault
+        if not m[2]:
+            fault = corrupted("missing terminating run-length repeater")
+            return m[0]
+        return m[1] * (4 + m[2][0])
+
+    return _FOUR.sub(grow, data), fault
 
 
 def rotations(data: bytes) -> np.ndarray:
