@@ -3,8 +3,8 @@
 The model is of characters folded to 64 symbols, order four, counted over the whole corpus by Spark. Its tables
 are sorted arrays of keys (the symbols of a gram, six bits each: a hash without collisions) with values beside them,
 so no table can have more than 2^24 entries, however large the corpus; a corpus really has some hundred thousand.
-The signs that junk is made of, and capitals behind capitals, are outside the vocabulary: they are contexts but
-never predicted, so a text of them is perplexing however common such texts are.
+Every character is counted alike, and bands around each language's median decide, not a list of signs: one of the mean cost of
+a character, and one of the mean cost of a word, which shows what is cheap by the character but hung on to every word.
 """
 
 from __future__ import annotations
@@ -22,11 +22,10 @@ from .common import as_bytes, batch, materialise, sliced, without
 
 ORDER, BITS = 4, 6
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: A band reaches from the median of its language's log perplexities so many robust deviations up, FLOOR at least, and
+#: A band reaches from the median of its language's scores so many robust deviations up, FLOOR at least, and
 #: DOWN times as far down: much repeated passages are expected, but not wrong. For a text of SHORT characters it is sqrt(2)
 #: times as wide, and so on, as a mean over fewer characters strays further.
-WIDTH, FLOOR, DOWN, SHORT, BIN = 12.0, 0.15, 3.0, 400, 1e-3
-OUTSIDE = 7
+WIDTH, FLOOR, DOWN, SHORT, BIN = 4.0, 0.02, 3.0, 400, 1e-3
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _SPACES = re.compile(rb"[\x20\x09-\x0D]")
 _BLOCK = 1 << 20
@@ -34,8 +33,8 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _fold() -> np.ndarray:
-    """Symbol of each code point below 0x3000: 0 text border, 1 blank, 2 line feed, 3 digit, 4-6 punctuation, 7 the
-    signs that junk is made of, 8-33 small letters, 34-59 capitals' and other letters by their last bits, 60-63 the rest."""
+    """Symbol of each code point below 0x3000: 0 text border, 1 blank, 2 line feed, 3 digit, 4-6 punctuation, 7 other
+    signs, 8-33 small letters, 34-59 capitals' and other letters by their last bits, 60-63 the rest."""
     out = np.zeros(0x3000, np.uint8)
     for k in range(len(out)):
         c = chr(k)
@@ -81,8 +80,6 @@ def grams(texts: list[str], skips: list[int] | None = None) -> tuple[np.ndarray,
         for k, n in enumerate(skips):
             own[starts[k] + ORDER - 1 : starts[k] + ORDER - 1 + n] = False
         lengths = lengths - np.array(skips, np.int64)
-    capital = (symbols >= 34) & (symbols < 38)
-    symbols[1:][capital[1:] & capital[:-1]] = OUTSIDE
     packed = symbols[ORDER - 1 :].copy() if len(symbols) >= ORDER else np.zeros(0, np.uint32)
     for k in range(1, ORDER):
         packed |= symbols[ORDER - 1 - k : len(symbols) - k] << np.uint32(BITS * k)
@@ -90,7 +87,7 @@ def grams(texts: list[str], skips: list[int] | None = None) -> tuple[np.ndarray,
 
 
 def _blocks(texts: list[str | None]):
-    """Lists of (number of the text, piece, skip) with about a block of characters in all. Pieces of a long text overlap by a gram, context and what that hangs on."""
+    """Lists of (number of the text, piece, skip) with about a block of characters in all. Pieces of a long text overlap by a gram."""
     some, size = [], 0
     for k, t in enumerate(texts):
         for at in range(0, len(t or ""), _BLOCK):
@@ -106,7 +103,7 @@ def _blocks(texts: list[str | None]):
 
 
 def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram, n) over every character of every text but those outside the vocabulary. A task sums its own before the shuffle."""
+    """(gram, n) over every character of every text. A task sums its own before the shuffle."""
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
@@ -123,7 +120,7 @@ def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for some in _blocks(texts):
                 _, pieces, skips = zip(*some, strict=True)
                 found = grams(list(pieces), list(skips))[0]
-                waiting.append(np.unique(found[found & ((1 << BITS) - 1) != OUTSIDE], return_counts=True))
+                waiting.append(np.unique(found, return_counts=True))
                 if len(waiting) == 32:
                     merge()
         merge()
@@ -241,18 +238,19 @@ def base_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated
 
 
-_SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+_SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, n_points long"
 
 
 def measure(docs: DataFrame, model: KneserNey | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string())] + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("log_perplexity", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string())] + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("log_perplexity", pa.float64()), ("n_points", pa.int64())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in sliced(batches):
             counts = zip(*map(base_counts, as_bytes(b.column(1))), strict=True) if b.num_rows else [[]] * 5
-            scores = shared.value.score(b.column(1).to_pylist()) if shared.value else [None] * b.num_rows
-            yield batch(schema, b.column(0), b.column(2), *counts, scores)
+            texts = b.column(1).to_pylist()
+            scores = shared.value.score(texts) if shared.value else [None] * b.num_rows
+            yield batch(schema, b.column(0), b.column(2), *counts, scores, [len(t or "") for t in texts])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")).mapInArrow(run, _SCHEMA)
 
@@ -261,13 +259,18 @@ def base_failed():
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def bands(measured: DataFrame) -> dict[str, tuple[float, float]]:
-    """Middle and upper half-width of the band of log perplexity of each language, from all rows that pass the base rules.
+def word_cost():
+    """Log of the mean negative log probability of a word with what stands about it."""
+    return F.log(F.col("log_perplexity") * F.col("n_points") / F.col("n_words"))
+
+
+def bands(measured: DataFrame, score) -> dict[str, tuple[float, float]]:
+    """Middle and upper half-width of the band of a score of each language, from all rows that pass the base rules.
 
     Medians come from a histogram in steps of BIN, which is exact to a step and of bounded size.
     """
-    bins = F.floor(F.col("log_perplexity") / BIN)
-    rows = measured.where(~base_failed() & F.col("log_perplexity").isNotNull()).groupBy("lang", bins.alias("bin")).count().collect()
+    bins = F.floor(score / BIN)
+    rows = measured.where(~base_failed() & score.isNotNull()).groupBy("lang", bins.alias("bin")).count().collect()
     by: dict[str, list[tuple[float, int]]] = {}
     for r in rows:
         by.setdefault(r["lang"], []).append(((r["bin"] + 0.5) * BIN, r["count"]))
@@ -293,11 +296,13 @@ def judge(docs: DataFrame) -> DataFrame:
     A null text has no words and fails the base rules. Rows without a language form a language of their own.
     """
     measured = materialise(measure(docs, fit(docs)), "quality")
-    found = bands(measured)
-    middle, half = (F.create_map(*(F.lit(x) for k, v in found.items() for x in (k, v[i])))[F.col("lang")] if found else F.lit(None).cast("double") for i in (0, 1))
-    half = half * F.sqrt(1 + SHORT / F.greatest("word_chars", F.lit(1)))
-    within = F.coalesce(F.col("log_perplexity").between(middle - DOWN * half, middle + half), F.lit(True))
-    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & within).drop("lang")
+    kept = ~base_failed()
+    for score in (F.col("log_perplexity"), word_cost()):
+        found = bands(measured, score)
+        middle, half = (F.create_map(*(F.lit(x) for k, v in found.items() for x in (k, v[i])))[F.col("lang")] if found else F.lit(None).cast("double") for i in (0, 1))
+        half = half * F.sqrt(1 + SHORT / F.greatest("word_chars", F.lit(1)))
+        kept = kept & F.coalesce(score.between(middle - DOWN * half, middle + half), F.lit(True))
+    return measured.withColumn("base_failed", base_failed()).withColumn("kept", kept).drop("lang", "n_points")
 
 
 def keep(docs: DataFrame) -> DataFrame:

@@ -94,3 +94,10 @@ def test_labelled_documents(tables):
     found = quality.judge(tables("documents")).join(tables("labels"), "doc_id").where("quality = 1 and not base_failed")
     n, kept = found.count(), found.where("kept").count()
     assert kept >= 0.99 * n
+
+
+def test_signs_are_counted_like_any_symbol(make):
+    texts = ["a | b | c $5 | d", "AB CD #1", "x<y>&*%"] * 40
+    assert sum(r.n for r in quality.count(make(list(enumerate(texts)))).collect()) == sum(map(len, texts))
+    found, _ = quality.grams(texts)
+    assert max(quality.KneserNey.of(*np.unique(found, return_counts=True)).score(texts)) < 1
