@@ -22,10 +22,9 @@ from .common import as_bytes, batch, materialise, sliced, without
 
 ORDER, BITS = 4, 6
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: A band reaches from the median of its language's scores so many robust deviations up, FLOOR at least, and
-#: DOWN times as far down: much repeated passages are expected, but not wrong. For a text of SHORT characters it is sqrt(2)
-#: times as wide, and so on, as a mean over fewer characters strays further.
-WIDTH, FLOOR, DOWN, SHORT, BIN = 4.0, 0.02, 3.0, 400, 1e-3
+#: A band reaches from the median of its language's scores so many robust deviations up and down, FLOOR at least. For a text of
+#: SHORT characters it is sqrt(2) times as wide, and so on, as a mean over fewer characters strays further.
+WIDTH, FLOOR, SHORT, BIN = 4.0, 0.02, 400, 1e-3
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _SPACES = re.compile(rb"[\x20\x09-\x0D]")
 _BLOCK = 1 << 20
@@ -265,7 +264,7 @@ def word_cost():
 
 
 def bands(measured: DataFrame, score) -> dict[str, tuple[float, float]]:
-    """Middle and upper half-width of the band of a score of each language, from all rows that pass the base rules.
+    """Middle and half-width of the band of a score of each language, from all rows that pass the base rules.
 
     Medians come from a histogram in steps of BIN, which is exact to a step and of bounded size.
     """
@@ -301,7 +300,7 @@ def judge(docs: DataFrame) -> DataFrame:
         found = bands(measured, score)
         middle, half = (F.create_map(*(F.lit(x) for k, v in found.items() for x in (k, v[i])))[F.col("lang")] if found else F.lit(None).cast("double") for i in (0, 1))
         half = half * F.sqrt(1 + SHORT / F.greatest("word_chars", F.lit(1)))
-        kept = kept & F.coalesce(score.between(middle - DOWN * half, middle + half), F.lit(True))
+        kept = kept & F.coalesce(score.between(middle - half, middle + half), F.lit(True))
     return measured.withColumn("base_failed", base_failed()).withColumn("kept", kept).drop("lang", "n_points")
 
 

@@ -101,3 +101,16 @@ def test_signs_are_counted_like_any_symbol(make):
     assert sum(r.n for r in quality.count(make(list(enumerate(texts)))).collect()) == sum(map(len, texts))
     found, _ = quality.grams(texts)
     assert max(quality.KneserNey.of(*np.unique(found, return_counts=True)).score(texts)) < 1
+
+
+def test_lower_band_rejects(make):
+    """Texts that are in part of few symbols pass the base rules and are too predictable."""
+    r = random.Random(6)
+    words = ["".join(r.choice(["ta", "no", "re", "li", "su", "ke"]) for _ in range(r.randint(1, 4))) for _ in range(300)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(k, prose(r.randint(60, 200))) for k in range(200)]
+    rows += [(1000 + k, prose(70) + " " + prose(40).upper().replace(" ", "!! ")) for k in range(20)]
+    got = {x.doc_id: x for x in quality.judge(make(rows)).collect()}
+    least = min(got[k].log_perplexity for k in range(200))
+    assert all(not got[k].base_failed and got[k].log_perplexity < least and not got[k].kept for k in range(1000, 1020))
+    assert all(got[k].kept for k in range(200))
