@@ -119,15 +119,17 @@ def fit(rows: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fits on a bounded sample of the rows with text, a letter and a language; None if there are none.
 
-    Rows are picked by a hash of text and language, at a rate for each language that gives about DOCS_EACH
-    documents; of their blocks, BLOCKS_MOST with the lowest hashes come to the driver as bitmaps of one KB.
+    Rows are picked by a hash of text and language, at a rate for each language that gives about DOCS_EACH different
+    texts, and a text with its copies is one; of their blocks, BLOCKS_MOST with the lowest hashes come to the driver as
+    bitmaps of one KB.
     """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.withColumn("hash", F.xxhash64("text", "lang"))
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", "hash").distinct().groupBy("lang").count().collect()}
     if not counts:
         return None
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, DOCS_EACH / n))))[F.col("lang")]
-    picked = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < share * (1 << 20))
+    picked = rows.where(F.pmod("hash", F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["lang", "hash"]).select("text", "lang")
     schema = pa.schema([("lang", pa.string()), ("bits", pa.binary())])
 
     def features(batches):
@@ -174,13 +176,16 @@ def held_out(id_col: str = "doc_id"):
 
 def identify(docs: DataFrame) -> DataFrame:
     """Trains on the rows not held out and predicts all: doc_id, held_out, lang_pred, score. A null doc_id isn't held out."""
-    model = train(docs.where(~held_out()))
+    return _scored(docs, train(docs.where(~held_out())))
+
+
+def _scored(docs: DataFrame, model: Model | None) -> DataFrame:
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents in a language that is known, with all columns of docs. Without any labelled row all stay."""
-    found = identify(docs)
-    if not docs.where("text is not null and lang is not null").limit(1).count():
+    """The documents in a language that is known, with all columns of docs. If there is nothing to learn a language from all stay."""
+    model = train(docs.where(~held_out()))
+    if model is None:
         return docs
-    return without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)), "foreign")
+    return without(docs, _scored(docs, model).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)), "foreign")

@@ -53,3 +53,15 @@ def test_edges(make):
     clash = make(rows).withColumns({"lang_pred": F.lit(1), "score": F.lit(2), "held_out": F.lit(3)})
     kept = langid.keep(clash)
     assert kept.columns == clash.columns and {1, 2, 3}.isdisjoint(r.doc_id for r in kept.collect())
+
+
+def test_few_texts_with_many_copies(make):
+    """A language of two texts in thousands of rows is learnt, however the hashes of these fall."""
+    some = {f"{a}{b}": (f"{a}{b} " * 40, f"{b}{a} " * 50) for a, b in zip("abcdefgh", "mnopqrst", strict=True)}
+    rows = [(k, some[lang][k % 2], lang) for k, lang in enumerate(list(some) * 2500)]
+    assert set(langid.train(make(rows)).langs) == set(some)
+
+
+def test_keep_without_a_model(make):
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 4 == 2)
+    assert langid.keep(make([(held, "some words of a text", "en")])).count() == 1
