@@ -4,7 +4,8 @@ Texts are folded to lower-case letters and digits with single blanks between. An
 occur with up to BUDGET * L edits. If it does with at most e edits, then at least L - q + 1 - q*e of its q-grams
 occur too, on diagonals (place in the text less place in the item) that lie within e of each other. So diagonals
 are cut in bands of 2(e+1), each overlapping the next by half, shared q-grams are counted in every band, and only
-bands that reach the bound are kept and verified by an alignment within the band.
+bands that reach the bound are kept and verified by an alignment within the band. An item of fewer than LEAST folded
+characters must occur without an edit and between word borders; one of fewer than q isn't searched.
 """
 
 from __future__ import annotations
@@ -93,7 +94,12 @@ class Items:
 
 
 def budget(length: int) -> int:
-    return int(length * BUDGET)
+    return int(length * BUDGET) if length >= LEAST else 0
+
+
+def _border(left: int, right: int) -> bool:
+    """Whether a word can end between two neighbours: at a blank or beside a letter of a script that sets no blanks."""
+    return any(x == 32 or x >= 0x3000 and not 0xAC00 <= x < 0xD7A4 for x in (left, right))
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int, int, int]:
@@ -140,7 +146,7 @@ def search(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int,
     row = np.repeat(items.first[found] - (ends - sizes), sizes) + np.arange(ends[-1])
     item, diagonal = items.item[row], np.repeat(at, sizes) - items.place[row]
     lengths = np.array([len(t) for t in items.texts])
-    edits = (lengths * BUDGET).astype(np.int64)
+    edits = np.array([budget(n) for n in lengths.tolist()])
     bound = lengths - GRAM + 1 - GRAM * edits
     step = edits[item] + 1
     band = (diagonal + (1 << 20)) // step
@@ -162,18 +168,25 @@ def search(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int,
             lo = low - int(starts[d]) - e
             if lo > len(symbols):
                 continue
-            got = _exact(pattern, symbols, lo, 2 * (e + 1) + 2 * e) or align(pattern, symbols, lo, 2 * (e + 1) + 2 * e)
-            if got[0] <= e and got < best.get((d, k), (e + 1,)):
+            short = len(pattern) < LEAST
+            got = _exact(pattern, symbols, lo, 2 * (e + 1) + 2 * e, short)
+            if not got and not short:
+                got = align(pattern, symbols, lo, 2 * (e + 1) + 2 * e)
+            if got and got[0] <= e and got < best.get((d, k), (e + 1,)):
                 best[d, k] = got
     for (d, k), (cost, a, b) in sorted(best.items()):
         places = folded[d][1]
         yield d, items.ids[k], int(places[a]), int(places[b - 1]) + 1, cost
 
 
-def _exact(pattern: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int, int, int] | None:
+def _exact(pattern: np.ndarray, text: np.ndarray, low: int, width: int, words: bool = False) -> tuple[int, int, int] | None:
+    """The first place of the pattern on these diagonals; with words, only between word borders."""
     for a in range(max(0, low), min(low + width, len(text) - len(pattern) + 1)):
         if text[a] == pattern[0] and np.array_equal(text[a : a + len(pattern)], pattern):
-            return 0, a, a + len(pattern)
+            b = a + len(pattern)
+            if words and (a and not _border(text[a - 1], text[a]) or b < len(text) and not _border(text[b - 1], text[b])):
+                continue
+            return 0, a, b
     return None
 
 
@@ -182,7 +195,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[It
     rows, size = [], 0
     for r in benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").toLocalIterator():
         symbols = fold(r["t"])[0] if r["t"] else np.zeros(0, np.uint32)
-        if len(symbols) < LEAST:
+        if len(symbols) < GRAM:
             continue
         rows.append((r["i"], symbols))
         size += len(symbols)
@@ -196,8 +209,8 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[It
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start, end, edits: a row for each item that occurs in a document, at its best place in code points.
 
-    Null texts and ids of items find nothing; neither do items of fewer than LEAST folded characters, which chance
-    repeats. Repeated rows are each searched. An empty table gives no rows.
+    Null texts and ids of items find nothing; neither do items of fewer than GRAM folded characters, which chance
+    repeats. Items of fewer than LEAST are found without edits and between word borders only. Repeated rows are each searched. An empty table gives no rows.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
     spark, out = docs.sparkSession, None

@@ -83,3 +83,12 @@ def test_planted_passages(tables):
     texts = {r.doc_id: r.text for r in docs.collect()}
     want = {(d, r.item_id) for r in bench.collect() for d, t in texts.items() if r.text in t}
     assert want <= found and all(len(folded(texts[d])) > 20 for d, _ in found)
+
+
+def test_short_items_without_edits(spark):
+    items = [(1, "Seven wise foxes?"), (2, "ten digits"), (3, "今天天气很好我们去公园"), (4, "who wrote of two towns?"), (5, "aaaaaaaaaaaa")]
+    docs = ["He saw (seven  WISE, foxes).", "seven wise foxes", "xseven wise foxes", "seven wise foxesy", "seven wide foxes", "ten digits", "often digits ten digitss"]
+    docs += ["他说今天天气很好我们去公园。", "他说今天天气很好我们去公圆。", "now: who wrote of two towns", "now: who wrote of two town", "b" + "a" * 40 + " " + "a" * 12]
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(0, 1), (1, 1), (5, 2), (7, 3), (9, 4), (11, 5)} and all(r.edits == 0 for r in got.values())
+    assert all(folded(docs[d][r.start : r.end]) == folded(dict(items)[i]) for (d, i), r in got.items())
