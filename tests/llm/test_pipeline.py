@@ -77,3 +77,17 @@ def test_stages_on_odd_tables(spark, tables_dir, make):
         assert stage(spark, odd, root).collect() is not None
         assert stage(spark, odd.limit(0), root).count() == 0
         stage(spark, odd.selectExpr("*", "1 AS gone_id", "2 AS score", "3 AS fp"), root).collect()
+
+
+def test_decisions_on_rows_without_their_own_id(spark, tables_dir, make):
+    """Rows with a null or a repeated doc_id are judged one by one."""
+    root, rows, bench = tables_dir
+    good, other = rows[0][1], rows[2][1]
+    dirty = rows[4][1] + " " + bench[0][1]
+    docs = make([(7, good), (7, good), (None, good), (8, dirty), (8, other), (None, dirty), (None, "too short"), (9, "1 2 3")])
+    left = lambda stage: sorted((r.text, r.doc_id or -1) for r in stage(spark, docs, root).collect())
+    assert left(corpus_pipeline.decontaminate) == sorted([(good, 7), (good, 7), (good, -1), (other, 8), ("too short", -1), ("1 2 3", 9)])
+    assert left(corpus_pipeline.near_dedup) == sorted([(good, 7), (other, 8), (dirty, 8), ("too short", -1), ("1 2 3", 9)])
+    found = left(corpus_pipeline.rules)
+    assert ("too short", -1) not in found and ("1 2 3", 9) not in found and (good, -1) in found
+    assert corpus_pipeline.near_dedup(spark, docs, root).columns == docs.columns
