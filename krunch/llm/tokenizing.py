@@ -27,8 +27,9 @@ _TAIL = ".,;:!?$%&*#"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORD = re.compile(f"[{_LETTERS}]+")
 _ODD = r"[\x1c-\x1f]|<\|"
-#: For byte-level files: white space that isn't one blank, or one line feed, between other characters.
-_ODD_BLANKS = r"|^\s|\s$|\s\s|[^\S \n]"
+#: For byte-level files: white space that isn't one blank, or one line feed, between other characters. The library's \s is that of
+#: Unicode, while Arrow's is that of ASCII, so the class is spelt out.
+_ODD_BLANKS = r"|^[ \n]|[ \n]$|[ \n][ \n]|[\t\x0b\f\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Behind a letter, these begin a token.
 _PUNCTUATED = f"([{_LETTERS}])([{_TAIL}])"
 _ZEROS = bytes(1 << 16)

@@ -22,7 +22,7 @@ def test_ids_are_the_librarys(name, request):
     assert mine.kind
 
     @given(st.lists(st.one_of(PIECES, st.text(max_size=30), st.none()), max_size=12))
-    @settings(max_examples=200, deadline=None)
+    @settings(max_examples=1000, deadline=None)
     def check(texts):
         for text, ids in zip(texts, mine.encode(pa.array(texts, pa.string())), strict=True):
             assert ids.tolist() == (library.encode(text, add_special_tokens=False).ids if text else [])
