@@ -8,7 +8,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a temporary one, but only if there is
+    no cluster: the executors of one would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="krunch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -72,16 +75,39 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder, so that a lost executor costs no recomputation, and read it back."""
     path = new_path(df.sparkSession, label)
     write(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._krunch_path = path
+    return out
 
 
-def without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
-    """The rows of docs whose doc_id isn't among gone's, with all columns of docs. A null doc_id names nothing, so its rows stay.
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that materialise() has written, once nothing that reads them is left to run."""
+    for df in tables:
+        path = df._krunch_path
+        drop_path(df.sparkSession, path)
+        _written[:] = [x for x in _written if x[1] != path]
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables written inside are deleted at the end, but for those put in the list that it gives."""
+    kept, before = [], len(_written)
+    yield kept
+    paths = {df._krunch_path for df in kept}
+    for entry in [x for x in _written[before:] if x[1] not in paths]:
+        drop_path(*entry)
+        _written.remove(entry)
+
+
+def without(docs: DataFrame, gone: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The rows of docs whose doc_id isn't among gone()'s, with all columns of docs. A null doc_id names nothing, so its rows stay.
 
     The ids are written first: Spark then knows their size, broadcasts them if it is below its threshold, and else
-    joins by shuffle.
+    joins by shuffle. Whatever gone() writes on the way is deleted.
     """
-    ids = materialise(gone.select(F.col("doc_id").alias("gone_id")).distinct(), label)
+    with passing() as kept:
+        ids = materialise(gone().select(F.col("doc_id").alias("gone_id")).distinct(), label)
+        kept.append(ids)
     return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti").select(*(docs[c] for c in docs.columns))
 
 

@@ -246,4 +246,4 @@ def _split(texts: list[str | None]) -> Iterator[list[int]]:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no item occurs, with all columns of docs."""
-    return without(docs, contaminated(docs, benchmark), "contaminated")
+    return without(docs, lambda: contaminated(docs, benchmark), "contaminated")

@@ -188,4 +188,4 @@ def keep(docs: DataFrame) -> DataFrame:
     model = train(docs.where(~held_out()))
     if model is None:
         return docs
-    return without(docs, _scored(docs, model).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)), "foreign")
+    return without(docs, lambda: _scored(docs, model).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)), "foreign")

@@ -306,4 +306,4 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all columns of docs. Rows with one doc_id go if any of them fails."""
-    return without(docs, judge(docs).where("not kept"), "poor")
+    return without(docs, lambda: judge(docs).where("not kept"), "poor")

@@ -141,4 +141,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that are the first of their component, with all columns of docs. Rows with one doc_id are one document."""
-    return without(docs, near_duplicates(docs).where("doc_id <> component_id"), "duplicates")
+    return without(docs, lambda: near_duplicates(docs).where("doc_id <> component_id"), "duplicates")

@@ -2,21 +2,23 @@
 
 Layout under one folder, all Parquet, so that any file system Spark knows will do and a lost task is redone:
 
-* chunks: digest, n, payload. Id streams are cut where a rolling hash over the last ids says so, so equal
-  passages give equal chunks wherever they stand; each different chunk is stored once. The payload is
-  little-endian, two bytes an id where the vocabulary allows, else four.
-* recipes: bucket, start, doc_id, n_tokens, digests, root. In ascending doc_id order through the buckets;
-  start counts from the bucket's first id, root is the Merkle root of the document's digests.
-* manifests: one row for each bucket with its number of documents and ids and the Merkle root of its
-  recipes' roots.
-* top: the Merkle root of the buckets' roots.
-
-Reading recomputes every chunk's digest and every root, and fails where one differs.
+* chunks: digest, payload. Id streams are cut where a rolling hash over the last ids says so, so equal passages
+  give equal chunks wherever they stand; each different chunk is stored once. The payload is little-endian, `width`
+  bytes an id: two where the vocabulary allows, else four.
+* recipes: bucket, start, doc_id, n_tokens, digests (one behind the other), root. In ascending doc_id order through
+  the buckets; start counts from the bucket's first id, root is the Merkle root of the document's digests. A row
+  without digests closes each bucket: the manifest, with its number of documents in start, of ids in n_tokens, and the
+  Merkle root of its recipes' roots.
+* top: the Merkle root of the buckets' roots, their number, and the width.
+
+Reading puts every document together from its chunks. It recomputes the digest of every chunk and the root of every
+document, bucket and store, and fails where one differs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -25,11 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, materialise, parts, sliced, write
-from .tokenizing import crc32_joined, encoder
+from .common import as_bytes, batch, forget, materialise, sliced, write
+from .tokenizing import encoder
 
 #: A chunk ends where the lowest bits of the rolling hash are ones: every 256 ids on average, behind 32 at least, 4096 at most.
 MASK, LEAST, MOST = 255, 32, 4096
+#: Ids of a bucket, about. A bucket is read by one task, and the driver sees a row for each; above MANY buckets they grow instead.
+BUCKET, MANY = 1 << 24, 200_000
+_DIGEST = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -116,173 +121,180 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     Equal and null doc_ids stay separate documents; nulls come first. An empty table gives an empty store.
     """
     spark = docs.sparkSession
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("n", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("digests", pa.list_(pa.binary()))])
+    fresh = pa.list_(pa.struct([("digest", pa.binary()), ("payload", pa.binary()), ("place", pa.int64())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("fresh", fresh)])
 
     def tokenise(batches):
         end_mark = np.array([end_id], np.uint32)
-        task, row, seen = TaskContext.get().partitionId(), 0, set()
+        place, seen = TaskContext.get().partitionId() << 40, set()
         enc = encoder(tokenizer)
-        width = "<u2" if enc.vocabulary <= 1 << 16 else "<u4"
+        width = f"<u{_width(enc.vocabulary, end_id)}"
         for b in sliced(batches):
             ids_of = b.column(0).to_pylist()
-            rows: list[tuple] = []
             for first, group in _groups(enc.encode(b.column(1))):
+                rows: list[tuple] = []
                 parts = [x for ids in group for x in (ids, end_mark)]
                 stream = np.concatenate(parts)  # of several documents: their marks are found at once
                 borders = np.cumsum([0, *(len(x) + 1 for x in group)]).tolist()
                 places = marks(stream)
                 firsts = np.searchsorted(places, borders, "right").tolist()
-                stream = stream.astype(width)
+                data, size = stream.astype(width).tobytes(), int(width[2])
                 for k in range(len(group)):
-                    ids, last, digests = stream[borders[k] : borders[k + 1]], 0, []
-                    for end in chunk_ends((places[firsts[k] : firsts[k + 1]] - borders[k]).tolist(), len(ids)):
-                        data = ids[last:end].tobytes()
-                        digests.append(name := digest(data))
-                        if name not in seen:  # of this task; the shuffle meets the rest
+                    begin, length, digests, new = borders[k] * size, borders[k + 1] - borders[k], [], []
+                    last = begin
+                    for end in chunk_ends((places[firsts[k] : firsts[k + 1]] - borders[k]).tolist(), length):
+                        end = begin + end * size
+                        payload = data[last:end]
+                        digests.append(name := digest(payload))
+                        if name not in seen:  # by this task; the others are met below
                             seen.add(name)
-                            rows.append((0, name, end - last, data, None, None))
+                            new.append((name, payload, place + len(new)))
                         last = end
-                    rows.append((1, b"%d.%d" % (task, row), len(ids), None, ids_of[first + k], digests))
-                    row += 1
-                if len(rows) >= 4096:
-                    yield batch(schema, *zip(*rows, strict=True))
-                    rows = []
-            if rows:
-                yield batch(schema, *zip(*rows, strict=True))
-
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tokenise, "kind int, key binary, n long, payload binary, doc_id long, digests array<binary>")
-    once = rows.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("n", "payload", "doc_id", "digests")))
-    write(once, f"{path}/log", "kind")
-    log = spark.read.schema(once.schema).parquet(f"{path}/log")
-    recipes = log.where("kind = 1").select("doc_id", "key", "n", "digests").repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first(), "key").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key")
-    out = pa.schema([("manifest", pa.int32()), ("bucket", pa.int32()), ("start", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("root", pa.binary())])
+                    rows.append((ids_of[first + k], place, length, b"".join(digests), new))
+                    place += 1 + len(new)
+                yield _encoded(schema, rows)
+
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tokenise, "doc_id long, place long, n_tokens long, digests binary, fresh array<struct<digest:binary,payload:binary,place:long>>")
+    log = materialise(found, "encoded")
+    parts = log.select(F.inline("fresh"))
+    # a chunk that several tasks have found: all but its first place are dropped, and only these few rows meet
+    again = parts.groupBy("digest").agg(F.min("place").alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
+    spare = materialise(parts.select("digest", "place").join(again, "digest").where("place <> kept").select("place"), "spare")
+    write(parts.join(spare, "place", "left_anti").select("digest", "payload"), f"{path}/chunks")
+    total = log.agg(F.sum("n_tokens")).collect()[0][0] or 0
+    order = [F.col("doc_id").asc_nulls_first(), F.col("place")]
+    rows = log.select("doc_id", "place", "n_tokens", "digests").repartitionByRange(max(1, min(MANY, math.ceil(total / BUCKET))), *order).sortWithinPartitions(*order)
+    out = pa.schema([("bucket", pa.int64()), ("start", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("root", pa.binary())])
 
     def recipe(batches):
         bucket, start, rows, tree = TaskContext.get().partitionId(), 0, 0, Merkle()
-        for b in batches:
-            doc_ids, sizes, lists = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
-            roots, starts = [merkle(x) for x in lists], []
+        for b in sliced(batches):
+            doc_ids, sizes, lists = b.column(0).to_pylist(), b.column(2).to_pylist(), as_bytes(b.column(3))
+            roots, starts = [_root(x) for x in lists], []
             for n, root in zip(sizes, roots, strict=True):
                 starts.append(start)
                 start += n
                 tree.add(root)
             rows += len(sizes)
-            yield batch(out, [0] * len(sizes), [bucket] * len(sizes), starts, doc_ids, sizes, lists, roots)
+            yield batch(out, [bucket] * len(sizes), starts, doc_ids, sizes, lists, roots)
         if rows:
-            yield batch(out, [1], [bucket], [rows], [None], [start], [None], [tree.root()])
+            yield batch(out, [bucket], [rows], [None], [start], [None], [tree.root()])
 
-    rows = recipes.mapInArrow(recipe, "manifest int, bucket int, start long, doc_id long, n_tokens long, digests array<binary>, root binary")
-    write(rows, f"{path}/recipes", "manifest")
+    write(rows.mapInArrow(recipe, _RECIPES), f"{path}/recipes")
+    forget(log, spare)
     buckets = _manifests(spark, path)
-    top = [(bytearray(merkle(bytes(r.root) for r in buckets)), len(buckets))]
-    write(spark.createDataFrame(top, "root binary, buckets int"), f"{path}/top")
+    top = [(bytearray(merkle(bytes(r.root) for r in buckets)), len(buckets), _width(encoder(tokenizer).vocabulary, end_id))]
+    write(spark.createDataFrame(top, "root binary, buckets long, width int"), f"{path}/top")
+
+
+_RECIPES = "bucket long, start long, doc_id long, n_tokens long, digests binary, root binary"
+
 
+def _width(vocabulary: int, end_id: int) -> int:
+    return 2 if max(vocabulary - 1, end_id) < 1 << 16 else 4
 
-_RECIPES = "manifest int, bucket int, start long, doc_id long, n_tokens long, digests array<binary>, root binary"
+
+def _root(digests: bytes) -> bytes:
+    return merkle(digests[k : k + _DIGEST] for k in range(0, len(digests), _DIGEST))
+
+
+def _encoded(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    *plain, new = zip(*rows, strict=True)
+    chunks = [x for some in new for x in some]
+    names, payloads, places = zip(*chunks, strict=True) if chunks else ((), (), ())
+    kind = schema.field("fresh").type
+    inner = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(payloads, pa.binary()), pa.array(places, pa.int64())], fields=list(kind.value_type))
+    offsets = pa.array(np.cumsum([0, *map(len, new)]), pa.int32())
+    return batch(schema, *plain, pa.ListArray.from_arrays(offsets, inner, type=kind))
 
 
 def _manifests(spark: SparkSession, path: str) -> list:
-    """A row for each bucket: as many as shuffle partitions, whatever the input."""
-    return spark.read.schema(_RECIPES).parquet(f"{path}/recipes").where("manifest = 1").orderBy("bucket").select("bucket", "start", "n_tokens", "root").collect()
+    """A row for each bucket: one for BUCKET ids, MANY at most."""
+    return spark.read.schema(_RECIPES).parquet(f"{path}/recipes").where("digests IS NULL").orderBy("bucket").select("bucket", "start", "n_tokens", "root").collect()
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("kind int, key binary, n long, payload binary").parquet(f"{path}/log").where("kind = 0").select(F.col("key").alias("digest"), "n", "payload")
+    return spark.read.schema("digest binary, payload binary").parquet(f"{path}/chunks")
 
 
-def recipes(spark: SparkSession, path: str) -> DataFrame:
-    """The documents in order with their place in the whole stream; checks the Merkle roots of buckets and of the store."""
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, n_chunks, ids_crc32 and ids (little-endian, unsigned, 32 bits each) of every document,
+    put together from the files alone, in no order. start counts the ids of all documents before it.
+
+    A bucket asks for each chunk once, however often its documents name it, so a chunk that very many documents
+    share is sent once for each bucket.
+    """
     found = _manifests(spark, path)
     top = spark.read.parquet(f"{path}/top").collect()[0]
     if merkle(bytes(r.root) for r in found) != bytes(top.root) or top.buckets != len(found):
         raise ValueError("the store's root doesn't match its manifests")
-    rows = spark.read.schema(_RECIPES).parquet(f"{path}/recipes").where("manifest = 0").drop("manifest")
-    want, before, at = {r.bucket: (r.start, r.n_tokens, bytes(r.root)) for r in found}, {}, 0
+    heads, at = [], 0
     for r in found:
-        before[r.bucket], at = at, at + r.n_tokens
+        heads.append((r.bucket, at, r.start, r.n_tokens, r.root))
+        at += r.n_tokens
+    width = top.width
+    recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes").where("digests IS NOT NULL")
+    names = F.transform(F.sequence(F.lit(0), (F.octet_length("digests") / _DIGEST - 1).cast("int")), lambda k: F.substring(F.col("digests"), k * _DIGEST + 1, F.lit(_DIGEST)))
+    wanted = recipes.where(F.octet_length("digests") > 0).select("bucket", F.explode(names).alias("digest")).distinct()
+    nothing = F.lit(None)
+    columns = ["bucket", "kind", "start", "doc_id", "n_tokens", "name", "data"]
+    first = spark.createDataFrame(heads, "bucket long, start long, doc_id long, n_tokens long, data binary").select("bucket", F.lit(0).alias("kind"), "start", "doc_id", "n_tokens", nothing.cast("binary").alias("name"), "data")
+    supply = wanted.join(chunks(spark, path), "digest").select("bucket", F.lit(1).alias("kind"), nothing.cast("long").alias("start"), nothing.cast("long").alias("doc_id"), nothing.cast("long").alias("n_tokens"), F.col("digest").alias("name"), F.col("payload").alias("data"))
+    rows = recipes.select("bucket", F.lit(2).alias("kind"), "start", "doc_id", "n_tokens", F.col("digests").alias("name"), F.col("root").alias("data"))
+    every = first.select(columns).unionByName(supply.select(columns)).unionByName(rows.select(columns))
+    dealt = every.repartition(max(1, len(found)), "bucket").sortWithinPartitions("bucket", "kind", "start")
+    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("n_chunks", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
-    def verify(batches):
-        """Partitions hold whole buckets in order."""
-        open_bucket, tree, count, total = None, Merkle(), 0, 0
+    def rebuild(batches):
+        bucket, base, want, stored, tree, count, total = None, 0, None, {}, Merkle(), 0, 0
 
         def close():
-            if open_bucket is not None and want[open_bucket] != (count, total, tree.root()):
-                raise ValueError(f"bucket {open_bucket} doesn't match its manifest")
-
-        for b in batches:
-            for bucket, start, n, root in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if bucket != open_bucket:
+            if want is not None and want != (count, total, tree.root()):
+                raise ValueError(f"bucket {bucket} doesn't match its manifest")
+
+        for b in sliced(batches, 1024):
+            rows = []
+            starts, ids, sizes = (b.column(k).to_pylist() for k in (2, 3, 4))
+            for of, kind, start, doc_id, n, name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), starts, ids, sizes, as_bytes(b.column(5)), as_bytes(b.column(6)), strict=True):
+                if kind == 0:
                     close()
-                    open_bucket, tree, count, total = bucket, Merkle(), 0, 0
-                if start != total:
-                    raise ValueError(f"bucket {bucket} has a gap at {total}")
-                tree.add(root)
-                count, total = count + 1, total + n
+                    bucket, base, want, stored, tree, count, total = of, start, (doc_id, n, data), {}, Merkle(), 0, 0
+                elif of != bucket:
+                    raise ValueError(f"bucket {of} has no manifest")
+                elif kind == 1:
+                    if digest(data) != name:
+                        raise ValueError(f"chunk {name.hex()} doesn't match its digest")
+                    stored[name] = data
+                else:
+                    keys = [name[k : k + _DIGEST] for k in range(0, len(name), _DIGEST)]
+                    try:
+                        whole = b"".join([stored[k] for k in keys])
+                    except KeyError as e:
+                        raise ValueError(f"document {doc_id} doesn't match its recipe: a chunk is missing") from e
+                    if start != total or len(whole) != n * width or merkle(keys) != data:
+                        raise ValueError(f"document {doc_id} doesn't match its recipe")
+                    tree.add(data)
+                    count, total = count + 1, total + n
+                    wide = np.frombuffer(whole, f"<u{width}").astype("<u4").tobytes()
+                    rows.append((doc_id, base + start, n, len(keys), zlib.crc32(wide), wide))
+            if rows:
+                yield batch(out, *zip(*rows, strict=True))
         close()
-        yield batch(pa.schema([("ok", pa.int32())]), [1])
 
-    rows.select("bucket", "start", "n_tokens", "root").repartition("bucket").sortWithinPartitions("bucket", "start").mapInArrow(verify, "ok int").count()
-    offset = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("bucket")] if before else F.lit(0)
-    return rows.withColumn("start", F.col("start") + offset)
+    return dealt.mapInArrow(rebuild, "doc_id long, start long, n_tokens long, n_chunks long, ids_crc32 long, ids binary")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, n_chunks of every document, from the files.
-
-    Each stored chunk is read once, held against its digest, and its CRC-32 as little-endian unsigned 32-bit
-    ids taken; a document's CRC joins those of its chunks in the order of its recipe, whose root is checked.
-    """
-    facts = pa.schema([("digest", pa.binary()), ("ids", pa.int64()), ("crc", pa.int64())])
-
-    def check(batches):
-        for b in batches:
-            names, counts, payloads = as_bytes(b.column(0)), b.column(1).to_pylist(), as_bytes(b.column(2))
-            crcs = []
-            for name, n, data in zip(names, counts, payloads, strict=True):
-                if digest(data) != name:
-                    raise ValueError(f"chunk {name.hex()} doesn't match its digest")
-                crcs.append(zlib.crc32(np.frombuffer(data, f"<u{len(data) // n}").astype("<u4").tobytes()))
-            yield batch(facts, names, counts, crcs)
-
-    done = chunks(spark, path).mapInArrow(check, "digest binary, ids long, crc long")
-    docs = materialise(recipes(spark, path).withColumn("uid", F.monotonically_increasing_id()), "recipes")
-    refs = docs.select("uid", F.posexplode("digests").alias("pos", "digest"))
-    found = refs.join(done, "digest").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "ids", "crc"))).alias("parts"))
-    joined = docs.select("uid", "doc_id", "start", "n_tokens", "root").join(found, "uid", "left")
-    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("n_chunks", pa.int64())])
-
-    def rebuild(batches):
-        for b in batches:
-            doc_ids, starts, sizes = (b.column(k).to_pylist() for k in (1, 2, 3))
-            roots, lists, crcs = as_bytes(b.column(4)), b.column(5).to_pylist(), []
-            for doc_id, n, root, pieces in zip(doc_ids, sizes, roots, lists, strict=True):
-                pieces = pieces or []
-                if merkle(p["digest"] for p in pieces) != root or sum(p["ids"] for p in pieces) != n:
-                    raise ValueError(f"document {doc_id} doesn't match its recipe")
-                crc = 0
-                for p in pieces:
-                    crc = crc32_joined(crc, p["crc"], 4 * p["ids"])
-                crcs.append(crc)
-            yield batch(out, doc_ids, starts, sizes, crcs, [len(x or ()) for x in lists])
-
-    return joined.mapInArrow(rebuild, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long")
+    """doc_id, start, n_tokens, ids_crc32, n_chunks of every document, from its ids as put together."""
+    return documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids: the id lists themselves, put together from their chunks."""
-    docs = materialise(recipes(spark, path).withColumn("uid", F.monotonically_increasing_id()), "recipes")
-    refs = docs.select("uid", F.posexplode("digests").alias("pos", "digest"))
-    found = refs.join(chunks(spark, path), "digest").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "n", "payload"))).alias("parts"))
-    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))])
+    """doc_id, start, ids: the id lists themselves."""
 
-    def rebuild(batches):
-        for b in batches:
-            ids = []
-            for pieces in b.column(2).to_pylist():
-                for p in pieces or []:
-                    if digest(p["payload"]) != p["digest"]:
-                        raise ValueError(f"chunk {p['digest'].hex()} doesn't match its digest")
-                ids.append([k for p in pieces or [] for k in np.frombuffer(p["payload"], f"<u{len(p['payload']) // p['n']}").tolist()])
-            yield batch(out, b.column(0), b.column(1), ids)
-
-    return docs.select("uid", "doc_id", "start").join(found, "uid", "left").select("doc_id", "start", "parts").mapInArrow(rebuild, "doc_id long, start long, ids array<long>")
+    def lists(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))])
+        for b in sliced(batches, 256):
+            yield batch(schema, b.column(0), b.column(1), [np.frombuffer(x, "<u4").tolist() for x in as_bytes(b.column(2))])
+
+    return documents(spark, path).select("doc_id", "start", "ids").mapInArrow(lists, "doc_id long, start long, ids array<long>")

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,6 @@ _ODD = r"[\x1c-\x1f]|<\|"
 _ODD_BLANKS = r"|^[ \n]|[ \n]$|[ \n][ \n]|[\t\x0b\f\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Behind a letter, these begin a token.
 _PUNCTUATED = f"([{_LETTERS}])([{_TAIL}])"
-_ZEROS = bytes(1 << 16)
 
 
 class Encoder:
@@ -138,13 +136,3 @@ def encoder(path: str) -> Encoder:
     if path not in _loaded:
         _loaded[path] = Encoder(path)
     return _loaded[path]
-
-
-def crc32_joined(first: int, second: int, length: int) -> int:
-    """CRC-32 of two byte strings in a row, from the CRC of each and the length of the second."""
-    shifted, base = first, 0
-    while length > 0:
-        zeros = _ZEROS[:length]
-        shifted, base = zlib.crc32(zeros, shifted), zlib.crc32(zeros, base)
-        length -= len(zeros)
-    return shifted ^ base ^ second
