@@ -60,17 +60,22 @@ def _clean() -> None:
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write(df: DataFrame, path: str, *by: str) -> None:
-    """df as Parquet at path, partitioned by the columns named."""
-    spark = df.sparkSession
+@contextlib.contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(_DROP_SHUFFLES, None)
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+        yield
     finally:
         spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
 
 
+def write(df: DataFrame, path: str, *by: str) -> None:
+    """df as Parquet at path, partitioned by the columns named."""
+    with dropping_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder, so that a lost executor costs no recomputation, and read it back."""
     path = new_path(df.sparkSession, label)
@@ -111,8 +116,13 @@ def without(docs: DataFrame, gone: Callable[[], DataFrame], label: str) -> DataF
     return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti").select(*(docs[c] for c in docs.columns))
 
 
-def parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def pieces_of(df: DataFrame, size: int) -> int:
+    """How many partitions of about size bytes the tables under df make, by what Catalyst knows of their files; where it
+    knows nothing, as many as spark.sql.shuffle.partitions."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if found >= 1 << 55:
+        return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(1 << 20, -(-found // size)))
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:

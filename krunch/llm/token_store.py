@@ -2,14 +2,15 @@
 
 Layout under one folder, all Parquet, so that any file system Spark knows will do and a lost task is redone:
 
-* chunks: digest, payload. Id streams are cut where a rolling hash over the last ids says so, so equal passages
-  give equal chunks wherever they stand; each different chunk is stored once. The payload is little-endian, `width`
-  bytes an id: two where the vocabulary allows, else four.
+* log/kind=0, the chunks: key (a digest), payload. Id streams are cut where a rolling hash over the last ids says so, so
+  equal passages give equal chunks wherever they stand; each different chunk is stored once. The payload is little-endian,
+  `width` bytes an id: two where the vocabulary allows, else four. Files are bucketed by key in Spark's own way, so that
+  payloads needn't be shuffled to be looked up.
 * recipes: bucket, start, doc_id, n_tokens, digests (one behind the other), root. In ascending doc_id order through
   the buckets; start counts from the bucket's first id, root is the Merkle root of the document's digests. A row
   without digests closes each bucket: the manifest, with its number of documents in start, of ids in n_tokens, and the
   Merkle root of its recipes' roots.
-* top: the Merkle root of the buckets' roots, their number, and the width.
+* top: the Merkle root of the buckets' roots, their number, the width, and in how many files the chunks are.
 
 Reading puts every document together from its chunks. It recomputes the digest of every chunk and the root of every
 document, bucket and store, and fails where one differs.
@@ -19,15 +20,16 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, forget, materialise, sliced, write
+from .common import as_bytes, batch, dropping_shuffles, pieces_of, sliced, write
 from .tokenizing import encoder
 
 #: A chunk ends where the lowest bits of the rolling hash are ones: every 256 ids on average, behind 32 at least, 4096 at most.
@@ -35,6 +37,8 @@ MASK, LEAST, MOST = 255, 32, 4096
 #: Ids of a bucket, about. A bucket is read by one task, and the driver sees a row for each; above MANY buckets they grow instead.
 BUCKET, MANY = 1 << 24, 200_000
 _DIGEST = 16
+#: Bytes of input for each file of chunks, about.
+FILE = 16 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -121,8 +125,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     Equal and null doc_ids stay separate documents; nulls come first. An empty table gives an empty store.
     """
     spark = docs.sparkSession
-    fresh = pa.list_(pa.struct([("digest", pa.binary()), ("payload", pa.binary()), ("place", pa.int64())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.binary()), ("fresh", fresh)])
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("place", pa.int64()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
     def tokenise(batches):
         end_mark = np.array([end_id], np.uint32)
@@ -140,27 +143,25 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
                 firsts = np.searchsorted(places, borders, "right").tolist()
                 data, size = stream.astype(width).tobytes(), int(width[2])
                 for k in range(len(group)):
-                    begin, length, digests, new = borders[k] * size, borders[k + 1] - borders[k], [], []
+                    begin, length, digests = borders[k] * size, borders[k + 1] - borders[k], []
                     last = begin
                     for end in chunk_ends((places[firsts[k] : firsts[k + 1]] - borders[k]).tolist(), length):
                         end = begin + end * size
                         payload = data[last:end]
                         digests.append(name := digest(payload))
-                        if name not in seen:  # by this task; the others are met below
+                        if name not in seen:  # by this task; the shuffle meets the others
                             seen.add(name)
-                            new.append((name, payload, place + len(new)))
+                            rows.append((0, name, place, payload, None, None))
                         last = end
-                    rows.append((ids_of[first + k], place, length, b"".join(digests), new))
-                    place += 1 + len(new)
-                yield _encoded(schema, rows)
-
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tokenise, "doc_id long, place long, n_tokens long, digests binary, fresh array<struct<digest:binary,payload:binary,place:long>>")
-    log = materialise(found, "encoded")
-    parts = log.select(F.inline("fresh"))
-    # a chunk that several tasks have found: all but its first place are dropped, and only these few rows meet
-    again = parts.groupBy("digest").agg(F.min("place").alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
-    spare = materialise(parts.select("digest", "place").join(again, "digest").where("place <> kept").select("place"), "spare")
-    write(parts.join(spare, "place", "left_anti").select("digest", "payload"), f"{path}/chunks")
+                    place += 1
+                    rows.append((1, place.to_bytes(8, "big"), place, b"".join(digests), ids_of[first + k], length))
+                yield batch(schema, *zip(*rows, strict=True))
+
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tokenise, "kind int, key binary, place long, payload binary, doc_id long, n_tokens long")
+    files = pieces_of(docs, FILE)
+    first = F.row_number().over(Window.partitionBy("kind", "key").orderBy("place"))
+    _write_log(found.repartition(files, "key").withColumn("first", first).where("first = 1").drop("first"), path, files)
+    log = spark.read.schema("place long, payload binary, doc_id long, n_tokens long").parquet(f"{path}/log/kind=1").withColumnRenamed("payload", "digests") if _has(spark, f"{path}/log/kind=1") else spark.createDataFrame([], "place long, digests binary, doc_id long, n_tokens long")
     total = log.agg(F.sum("n_tokens")).collect()[0][0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.col("place")]
     rows = log.select("doc_id", "place", "n_tokens", "digests").repartitionByRange(max(1, min(MANY, math.ceil(total / BUCKET))), *order).sortWithinPartitions(*order)
@@ -181,10 +182,22 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
             yield batch(out, [bucket], [rows], [None], [start], [None], [tree.root()])
 
     write(rows.mapInArrow(recipe, _RECIPES), f"{path}/recipes")
-    forget(log, spare)
     buckets = _manifests(spark, path)
-    top = [(bytearray(merkle(bytes(r.root) for r in buckets)), len(buckets), _width(encoder(tokenizer).vocabulary, end_id))]
-    write(spark.createDataFrame(top, "root binary, buckets long, width int"), f"{path}/top")
+    top = [(bytearray(merkle(bytes(r.root) for r in buckets)), len(buckets), _width(encoder(tokenizer).vocabulary, end_id), files)]
+    write(spark.createDataFrame(top, "root binary, buckets long, width int, files int"), f"{path}/top")
+
+
+def _has(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def _write_log(rows: DataFrame, path: str, files: int) -> None:
+    """Bucketed files have to be written as a table; only its entry in the catalog is dropped again, its files stay."""
+    name = f"krunch_{uuid.uuid4().hex}"
+    with dropping_shuffles(rows.sparkSession):
+        rows.write.option("compression", "zstd").partitionBy("kind").bucketBy(files, "key").option("path", f"{path}/log").saveAsTable(name)
+    rows.sparkSession.sql(f"DROP TABLE {name}")
 
 
 _RECIPES = "bucket long, start long, doc_id long, n_tokens long, digests binary, root binary"
@@ -198,23 +211,22 @@ def _root(digests: bytes) -> bytes:
     return merkle(digests[k : k + _DIGEST] for k in range(0, len(digests), _DIGEST))
 
 
-def _encoded(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    *plain, new = zip(*rows, strict=True)
-    chunks = [x for some in new for x in some]
-    names, payloads, places = zip(*chunks, strict=True) if chunks else ((), (), ())
-    kind = schema.field("fresh").type
-    inner = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(payloads, pa.binary()), pa.array(places, pa.int64())], fields=list(kind.value_type))
-    offsets = pa.array(np.cumsum([0, *map(len, new)]), pa.int32())
-    return batch(schema, *plain, pa.ListArray.from_arrays(offsets, inner, type=kind))
-
-
 def _manifests(spark: SparkSession, path: str) -> list:
     """A row for each bucket: one for BUCKET ids, MANY at most."""
     return spark.read.schema(_RECIPES).parquet(f"{path}/recipes").where("digests IS NULL").orderBy("bucket").select("bucket", "start", "n_tokens", "root").collect()
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("digest binary, payload binary").parquet(f"{path}/chunks")
+    """digest, payload of every chunk."""
+    if not _has(spark, f"{path}/log/kind=0"):
+        return spark.createDataFrame([], "digest binary, payload binary")
+    files, name = spark.read.parquet(f"{path}/top").collect()[0].files, f"krunch_{uuid.uuid4().hex}"
+    place = f"{path}/log/kind=0".replace("'", r"\'")
+    spark.sql(f"CREATE TABLE {name} (key BINARY, payload BINARY) USING parquet CLUSTERED BY (key) INTO {files} BUCKETS LOCATION '{place}'")
+    out = spark.table(name).select(F.col("key").alias("digest"), "payload")
+    out.schema  # resolved now, so that the name isn't needed any more
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -239,7 +251,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     nothing = F.lit(None)
     columns = ["bucket", "kind", "start", "doc_id", "n_tokens", "name", "data"]
     first = spark.createDataFrame(heads, "bucket long, start long, doc_id long, n_tokens long, data binary").select("bucket", F.lit(0).alias("kind"), "start", "doc_id", "n_tokens", nothing.cast("binary").alias("name"), "data")
-    supply = wanted.join(chunks(spark, path), "digest").select("bucket", F.lit(1).alias("kind"), nothing.cast("long").alias("start"), nothing.cast("long").alias("doc_id"), nothing.cast("long").alias("n_tokens"), F.col("digest").alias("name"), F.col("payload").alias("data"))
+    supply = chunks(spark, path).join(wanted.hint("shuffle_hash"), "digest").select("bucket", F.lit(1).alias("kind"), nothing.cast("long").alias("start"), nothing.cast("long").alias("doc_id"), nothing.cast("long").alias("n_tokens"), F.col("digest").alias("name"), F.col("payload").alias("data"))
     rows = recipes.select("bucket", F.lit(2).alias("kind"), "start", "doc_id", "n_tokens", F.col("digests").alias("name"), F.col("root").alias("data"))
     every = first.select(columns).unionByName(supply.select(columns)).unionByName(rows.select(columns))
     dealt = every.repartition(max(1, len(found)), "bucket").sortWithinPartitions("bucket", "kind", "start")

@@ -46,10 +46,9 @@ def test_round_trip(make, byte_file):
     assert sum(packing.WINDOW - n for n in sequences.values()) <= 8 * packing.WINDOW  # one open sequence a partition
 
 
-def test_small_shards_and_windows(make, byte_file, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD_DOCS", 3)
+def test_small_shards_and_windows(make, byte_file):
     rows = [(k, "word " * k) for k in range(25)]
-    check(packing.pack(make(rows), byte_file, 0, window=16).collect(), rows, byte_file, 16)
+    check(packing.pack(make(rows), byte_file, 0, window=16, shard=40, partition=100).collect(), rows, byte_file, 16)
 
 
 def test_edges(make, byte_file):
@@ -58,19 +57,60 @@ def test_edges(make, byte_file):
     assert [(p.doc_id, p.start, p.offset) for p in packing.pack(clash, byte_file, 0).collect()] == [(1, 0, 0)]
 
 
-def test_scores_by_formula():
-    docs = [np.array(x) for x in ([1, 2, 2, 3, 9], [2, 3, 3], [4, 5, 9], [1, 1, 9], [7])]
-    got = packing.Index(docs).scores()
+def bm25(docs):
+    """Of every document (columns) for every one as a query (rows), by the formula; each term of a query counts once."""
     n, mean = len(docs), np.mean([len(d) for d in docs])
+    out = np.zeros((n, n))
+    df = {t: sum(t in set(x.tolist()) for x in docs) for d in docs for t in d.tolist()}
     for q, a in enumerate(docs):
         for d, b in enumerate(docs):
-            want = 0.0
             for term in set(a.tolist()):
-                df = sum(term in x for x in docs)
                 tf = (b == term).sum()
-                if df > 1 and tf:
-                    want += np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(b) / mean))
-            assert abs(got[q, d] - want) < 1e-4
+                if df[term] > 1 and tf:
+                    out[q, d] += np.log1p((n - df[term] + 0.5) / (df[term] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(b) / mean))
+    return out
+
+
+def test_ranking_by_formula():
+    r = np.random.default_rng(4)
+    docs = [r.integers(0, 30, r.integers(1, 25)) for _ in range(60)]
+    want, index = bm25(docs), packing.Index(docs, 10**6)
+    used = np.zeros(60, bool)
+    used[::7] = True
+    for q in range(60):
+        for count in (1, 5, 100):
+            got = index.neighbours(q, used, count)
+            scores = sorted((-want[q, d], d) for d in range(60) if not used[d] and want[q, d] > 1e-9)
+            assert np.allclose([want[q, d] for d in got[:count]], [-s for s, _ in scores[:count]], atol=1e-3)
+            assert not any(used[d] for d in got)
+
+
+def test_recall_against_brute_force(tables, byte_file):
+    """The index with its shortened queries against every term of every document."""
+    library = Tokenizer.from_file(byte_file)
+    texts = sorted({r.text for r in tables("documents").select("text").collect() if r.text})
+    docs = [np.array(library.encode(t, add_special_tokens=False).ids, np.int64) for t in texts]
+    index, want = packing.Index(docs), bm25_fast(docs)
+    hits = total = 0
+    for q in range(0, len(docs), 3):
+        used = np.zeros(len(docs), bool)
+        used[q] = True
+        scores = want[q].copy()
+        scores[q] = -1
+        best = set(np.argsort(-scores)[:10].tolist())
+        hits += len(best & set(index.neighbours(q, used, 10)[:10]))
+        total += len(best)
+    assert hits / total > 0.9
+
+
+def bm25_fast(docs):
+    terms = np.unique(np.concatenate(docs))
+    tf = np.zeros((len(docs), len(terms)))
+    for k, d in enumerate(docs):
+        np.add.at(tf[k], np.searchsorted(terms, d), 1)
+    df, lengths = (tf > 0).sum(axis=0), tf.sum(axis=1, keepdims=True)
+    weights = np.log1p((len(docs) - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * lengths / lengths.mean()))
+    return (tf > 0).astype(float) @ weights.T
 
 
 def test_windows_take_neighbours():

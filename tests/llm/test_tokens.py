@@ -93,12 +93,13 @@ def test_empty_and_null_ids(make, word_file):
 
 def test_damage_is_found(make, word_file, spark):
     _, path = store(make, [(k, f"text number {k} with words") for k in range(20)], word_file)
-    good, schema = token_store.chunks(spark, path).collect(), "digest binary, payload binary"
+    good, schema = token_store.chunks(spark, path).collect(), "key binary, payload binary"
     for change in ([(good[0].digest, bytearray(bytes(good[0].payload)[::-1]))], [(bytearray(b"?" * 16), good[0].payload)], []):
         bad = new_path(spark, "test-store")
         for part in ("recipes", "top"):
             spark.read.parquet(f"{path}/{part}").write.parquet(f"{bad}/{part}")
-        spark.createDataFrame([(r.digest, r.payload) for r in good[1:]] + change, schema).write.parquet(f"{bad}/chunks")
+        rows = spark.createDataFrame([(r.digest, r.payload) for r in good[1:]] + change, schema).selectExpr("*", "0 AS kind")
+        token_store._write_log(rows, bad, spark.read.parquet(f"{path}/top").collect()[0].files)
         with pytest.raises(Exception, match="doesn't match"):
             token_store.read_index(spark, bad).collect()
 
