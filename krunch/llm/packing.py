@@ -46,7 +46,7 @@ class Index:
         unique = [np.unique(d, return_counts=True) for d in docs]
         counts = np.fromiter((len(u) for u, _ in unique), np.int64, self.size)
         self.bounds = np.append(0, np.cumsum(counts))
-        self.ids = np.concatenate([u for u, _ in unique])
+        self.ids = np.concatenate([u for u, _ in unique]).astype(np.int32)
         tf = np.concatenate([n for _, n in unique]).astype(np.float32)
         del unique
         order = np.argsort(self.ids, kind="stable")
@@ -69,10 +69,10 @@ class Index:
 
     def neighbours(self, doc: int, used: np.ndarray, count: int) -> list[int]:
         """The unused documents that the query ranks highest, best first; of equal ones the earlier first."""
-        scores = np.zeros(self.size, np.float32)
-        for term in self.query(doc).tolist():
-            a, b = self.first[term], self.first[term + 1]
-            scores[self.posting[a:b]] += self.posted[a:b]
+        lists = [slice(a, b) for a, b in zip(*(self.first[k].tolist() for k in ((terms := self.query(doc)), terms + 1)), strict=True)]
+        if not lists:
+            return []
+        scores = np.bincount(np.concatenate([self.posting[x] for x in lists]), np.concatenate([self.posted[x] for x in lists]), self.size)
         scores[used] = 0
         found, most = np.flatnonzero(scores), max(count, CANDIDATES)
         if len(found) > most:
