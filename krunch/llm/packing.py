@@ -69,7 +69,8 @@ class Index:
 
     def neighbours(self, doc: int, used: np.ndarray, count: int) -> list[int]:
         """The unused documents that the query ranks highest, best first; of equal ones the earlier first."""
-        lists = [slice(a, b) for a, b in zip(*(self.first[k].tolist() for k in ((terms := self.query(doc)), terms + 1)), strict=True)]
+        terms = self.query(doc)
+        lists = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.first[terms + 1].tolist(), strict=True)]
         if not lists:
             return []
         scores = np.bincount(np.concatenate([self.posting[x] for x in lists]), np.concatenate([self.posted[x] for x in lists]), self.size)
