@@ -46,17 +46,18 @@ class Index:
         unique = [np.unique(d, return_counts=True) for d in docs]
         counts = np.fromiter((len(u) for u, _ in unique), np.int64, self.size)
         self.bounds = np.append(0, np.cumsum(counts))
-        self.ids = np.concatenate([u for u, _ in unique]).astype(np.int32)
+        self.ids = np.concatenate([u for u, _ in unique]).astype(np.int64)
         tf = np.concatenate([n for _, n in unique]).astype(np.float32)
         del unique
         order = np.argsort(self.ids, kind="stable")
-        owner = np.repeat(np.arange(self.size, dtype=np.int32), counts)
+        owner = np.repeat(np.arange(self.size), counts)
         df = np.bincount(self.ids)
         self.first = np.append(0, np.cumsum(df))
         idf = np.log1p((self.size - df + 0.5) / (df + 0.5)).astype(np.float32)
         norm = (K1 * (1 - B + B * lengths / max(lengths.mean(), 1))).astype(np.float32)
         self.weights = idf[self.ids] * tf * np.float32(K1 + 1) / (tf + norm[owner])
-        self.posting, self.posted = owner[order], self.weights[order]
+        # as bincount takes them, without a copy
+        self.posting, self.posted = owner[order], self.weights[order].astype(np.float64)
         self.df, self.asked = df, np.zeros(len(df), np.float32)
 
     def query(self, doc: int) -> np.ndarray:

@@ -101,7 +101,7 @@ class Encoder:
             plain = pc.replace_substring(pc.replace_substring_regex(plain, _PUNCTUATED, "\\1\x1f\\2"), " ", "\x1f ")
             pieces = pc.split_pattern(pc.replace_substring(plain, "\n", "\x1f\n\x1f"), "\x1f")
         coded = pieces.flatten().dictionary_encode()
-        names, offsets = coded.dictionary.to_pylist(), pieces.offsets.to_numpy().astype(np.int64)
+        names, offsets = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.offsets.to_numpy().astype(np.int64)
         if len(self.cache) > CACHE:
             self.cache = {"": b""}
         found = list(map(self.cache.get, names))
