@@ -5,7 +5,8 @@ occur with up to BUDGET * L edits. If it does with at most e edits, then at leas
 occur too, on diagonals (place in the text less place in the item) that lie within e of each other. So diagonals
 are cut in bands of 2(e+1), each overlapping the next by half, shared q-grams are counted in every band, and only
 bands that reach the bound are kept and verified by an alignment within the band. An item of fewer than LEAST folded
-characters must occur without an edit and between word borders; one of fewer than q isn't searched.
+characters must occur without an edit and between word borders; the lemma has nothing to say of one of fewer than q, so
+that is looked up whole, by a hash of its own length.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import batch, sliced, without
 
 GRAM, BUDGET, LEAST = 10, 0.05, 24
-#: Folded characters of benchmark items that go to the executors at a time; a larger benchmark takes more passes.
+#: Folded characters of a block of benchmark items; its arrays take about 30 bytes for each.
 ITEM_BLOCK = 4_000_000
 _TEXT_BLOCK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -55,6 +56,16 @@ def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
+def short_hashes(symbols: np.ndarray, length: int) -> np.ndarray:
+    """Of so many symbols from each place on, fewer than a gram."""
+    out = np.zeros(max(0, len(symbols) - length + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(length):
+            out = (out ^ symbols[k : k + len(out)].astype(np.uint64) + np.uint64(1)) * _BASE
+            out ^= out >> np.uint64(29)
+    return out
+
+
 def hashes(symbols: np.ndarray) -> np.ndarray:
     """Of the ten symbols from each place on."""
     with np.errstate(over="ignore"):
@@ -79,9 +90,19 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     known: np.ndarray  #: which leading bits of a hash occur
+    short: list[tuple[int, np.ndarray, np.ndarray]]  #: of items below a gram: length, sorted hashes, their items
 
     @classmethod
     def of(cls, rows: list[tuple[int, np.ndarray]]) -> Items:
+        tiny, rows = [(i, t) for i, t in rows if len(t) < GRAM], [(i, t) for i, t in rows if len(t) >= GRAM]
+        short = []
+        for length in sorted({len(t) for _, t in tiny}):
+            own = [(int(short_hashes(t, length)[0]), i) for i, t in tiny if len(t) == length]
+            own.sort()
+            short.append((length, np.array([h for h, _ in own], np.uint64), np.array([i for _, i in own], np.int64)))
+        if not rows:
+            none = np.zeros(0, np.int64)
+            return cls([], [], np.zeros(0, np.uint64), np.zeros(1, np.int64), none, none, np.zeros(1 << _BITS, bool), short)
         each = [hashes(t) for _, t in rows]
         h = np.concatenate(each)
         item = np.repeat(np.arange(len(rows)), [len(x) for x in each])
@@ -90,7 +111,7 @@ class Items:
         grams, first = np.unique(h[order], return_index=True)
         known = np.zeros(1 << _BITS, bool)
         known[(grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        return cls([i for i, _ in rows], [t for _, t in rows], grams, np.append(first, len(h)), item[order], place[order], known)
+        return cls([i for i, _ in rows], [t for _, t in rows], grams, np.append(first, len(h)), item[order], place[order], known, short)
 
 
 def budget(length: int) -> int:
@@ -129,6 +150,10 @@ def align(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int
 def search(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
     """(index of text, item id, start, end, edits) of each item found in each text, at its best place; offsets in code points."""
     folded = [fold(t) for t in texts]
+    if items.short:
+        yield from _search_short(items, folded)
+    if not items.ids:
+        return
     gap = np.zeros(GRAM, np.uint32)
     every = np.concatenate([x for symbols, _ in folded for x in (symbols, gap)])
     starts = np.cumsum([0, *(len(s) + GRAM for s, _ in folded)])
@@ -149,7 +174,8 @@ def search(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int,
     edits = np.array([budget(n) for n in lengths.tolist()])
     bound = lengths - GRAM + 1 - GRAM * edits
     step = edits[item] + 1
-    band = (diagonal + (1 << 20)) // step
+    shift = int(lengths.max())  # no diagonal lies further below zero
+    band = (diagonal + shift) // step + 1
     keys = np.concatenate([item << np.int64(34) | band, item << np.int64(34) | (band - 1)])
     keys, counts = np.unique(keys, return_counts=True)
     of = keys >> 34
@@ -157,7 +183,7 @@ def search(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int,
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for k, b in zip(of[keep].tolist(), (keys[keep] & ((1 << 34) - 1)).tolist(), strict=True):
         pattern, e = items.texts[k], int(edits[k])
-        low = b * (e + 1) - (1 << 20)
+        low = (b - 1) * (e + 1) - shift
         # a band may touch two texts
         for d in range(max(0, int(np.searchsorted(starts, low - e, "right")) - 1), len(folded)):
             if starts[d] > low + 2 * (e + 1) + e + len(pattern):
@@ -190,12 +216,31 @@ def _exact(pattern: np.ndarray, text: np.ndarray, low: int, width: int, words: b
     return None
 
 
+def _search_short(items: Items, folded) -> Iterator[tuple[int, int, int, int, int]]:
+    """Items below a gram: the first place between word borders where one occurs as it is."""
+    for d, (symbols, places) in enumerate(folded):
+        for length, known, ids in items.short:
+            h = short_hashes(symbols, length)
+            if not len(h):
+                continue
+            at = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+            met = set()
+            for a in at.tolist():
+                b = a + length
+                if int(h[a]) in met or a and not _border(symbols[a - 1], symbols[a]) or b < len(symbols) and not _border(symbols[b - 1], symbols[b]):
+                    continue
+                met.add(int(h[a]))
+                first, last = np.searchsorted(known, h[a], "left"), np.searchsorted(known, h[a], "right")
+                for i in ids[first:last].tolist():
+                    yield d, i, int(places[a]), int(places[b - 1]) + 1, 0
+
+
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
     """The benchmark in blocks of bounded size; it is read once, a partition at a time."""
     rows, size = [], 0
     for r in benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").toLocalIterator():
         symbols = fold(r["t"])[0] if r["t"] else np.zeros(0, np.uint32)
-        if len(symbols) < GRAM:
+        if not len(symbols):
             continue
         rows.append((r["i"], symbols))
         size += len(symbols)
@@ -209,26 +254,27 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[It
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start, end, edits: a row for each item that occurs in a document, at its best place in code points.
 
-    Null texts and ids of items find nothing; neither do items of fewer than GRAM folded characters, which chance
-    repeats. Items of fewer than LEAST are found without edits and between word borders only. Repeated rows are each searched. An empty table gives no rows.
+    Null texts and ids of items find nothing, nor does an item without a letter or digit. Items of fewer than LEAST folded
+    characters are found without edits and between word borders only. Repeated rows are each searched. An empty table
+    gives no rows. The benchmark goes to the executors in blocks of ITEM_BLOCK characters; each text is folded once and
+    held against all of them, so a larger benchmark costs no further scan of the documents.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
-    spark, out = docs.sparkSession, None
+    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    for items in item_blocks(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches, shared=shared):
-            for b in sliced(batches):
-                ids, texts, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-                for some in _split(texts):
-                    rows += [(ids[some[d]], *rest) for d, *rest in search(shared.value, [texts[k] for k in some])]
+    shared = [spark.sparkContext.broadcast(items) for items in item_blocks(benchmark, item_id, item_text)]
+    if not shared:
+        return spark.createDataFrame([], "doc_id long, item_id long, start long, end long, edits int")
+
+    def run(batches):
+        for b in sliced(batches):
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for some in _split(texts):
+                rows = [(ids[some[d]], *rest) for block in shared for d, *rest in search(block.value, [texts[k] for k in some])]
                 if rows:
                     yield batch(schema, *zip(*rows, strict=True))
 
-        found = source.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits int")
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], "doc_id long, item_id long, start long, end long, edits int") if out is None else out
+    return source.mapInArrow(run, "doc_id long, item_id long, start long, end long, edits int")
 
 
 def _split(texts: list[str | None]) -> Iterator[list[int]]:
