@@ -28,11 +28,11 @@ from .common import as_bytes, batch, materialise, sliced
 from .tokenizing import encoder
 
 WINDOW = 1024
-#: Ids of a shard and of a partition, about. A shard of 16 million takes some 300 MB while it is indexed.
-SHARD, PARTITION = 16_000_000, 16_000_000
+#: Ids of a shard and of a partition, about. A shard of 12 million takes some 300 MB while it is indexed.
+SHARD, PARTITION = 12_000_000, 12_000_000
 K1, B = 1.2, 0.75
 #: Terms of a seed that nominate, and how many are ranked by all terms, at least.
-TERMS, CANDIDATES = 48, 96
+TERMS, CANDIDATES = 40, 96
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
