@@ -141,7 +141,8 @@ def model(counts: DataFrame) -> DataFrame:
         ones, twos, threes, fours = (F.greatest(F.count(F.when(F.col("c") == x, 1)), F.lit(1)) for x in (1, 2, 3, 4))
         y = ones / (ones + 2 * twos)
         held = lambda d, most: F.greatest(F.lit(0.05), F.least(F.lit(most), d))
-        discounts = rows.groupBy("lang").agg(held(1 - 2 * y * twos / ones, 0.95).alias("d1"), held(2 - 3 * y * threes / twos, 1.9).alias("d2"), held(3 - 4 * y * fours / threes, 2.9).alias("d3"))
+        # a row for each language; written, so that Spark knows its size and needn't deal the grams by language to join it
+        discounts = materialise(rows.groupBy("lang").agg(held(1 - 2 * y * twos / ones, 0.95).alias("d1"), held(2 - 3 * y * threes / twos, 1.9).alias("d2"), held(3 - 4 * y * fours / threes, 2.9).alias("d3")), "discounts")
         taken = F.least(F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")), F.col("c"))
         # at most 4096 symbols follow a context
         context = Window.partitionBy("lang", F.shiftright("gram", BITS))
@@ -342,7 +343,7 @@ def _medians(rows: DataFrame, name: str) -> DataFrame:
 def bands(measured: DataFrame, score, name: str) -> DataFrame:
     """lang, the middle and the half-width of the band of a score of each language, from all rows that pass the base rules."""
     rows = measured.where(~base_failed()).select("lang", score.alias("x"))
-    middles = _medians(rows, f"{name}_middle")
+    middles = materialise(_medians(rows, f"{name}_middle"), "middles")
     spread = rows.join(middles, "lang").select("lang", F.abs(F.col("x") - F.col(f"{name}_middle")).alias("x"))
     half = F.greatest(F.lit(FLOOR), WIDTH * 1.4826 * F.col(f"{name}_half"))
     return middles.join(_medians(spread, f"{name}_half"), "lang").select("lang", f"{name}_middle", half.alias(f"{name}_half"))
