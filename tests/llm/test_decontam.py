@@ -66,9 +66,9 @@ def test_blocks_of_items_and_texts(spark, items, monkeypatch):
 def test_edges(spark, make):
     bench = spark.createDataFrame([(1, None), (None, "a text without a number of its own"), (2, ""), (3, "too short"), (4, "this one is long enough to be found"), (4, "this one is long enough to be found")], "item_id long, text string")
     docs = make([(1, "This ONE is, long enough -- to be found"), (2, "too short"), (None, "this one is long enough to be found"), (3, None)]).withColumn("item_id", F.lit(7))
-    assert sorted((r.doc_id or 0, r.item_id) for r in decontam.contaminated(docs, bench).distinct().collect()) == [(0, 4), (1, 4)]
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontam.contaminated(docs, bench).distinct().collect()) == [(0, 4), (1, 4), (2, 3)]
     kept = decontam.clean(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3]
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3]
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
@@ -92,3 +92,21 @@ def test_short_items_without_edits(spark):
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert set(got) == {(0, 1), (1, 1), (5, 2), (7, 3), (9, 4), (11, 5)} and all(r.edits == 0 for r in got.values())
     assert all(folded(docs[d][r.start : r.end]) == folded(dict(items)[i]) for (d, i), r in got.items())
+
+
+def test_items_below_a_gram(spark):
+    """Found as they are between word borders, by brute force too."""
+    items = [(1, "Yes"), (2, "4 of 7"), (3, "今天"), (4, "yes"), (5, "a b c d e"), (6, "!!")]
+    docs = ["yes", "yesterday", "say YES!", "4 of 77", "(4, of: 7)", "说今天好", "a b c d ef a b c d e", "", None, "x"]
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(0, 1), (0, 4), (2, 1), (2, 4), (4, 2), (5, 3), (6, 5)}
+    assert all(folded(docs[d][r.start : r.end]) == folded(dict(items)[i]) and r.edits == 0 for (d, i), r in got.items())
+
+
+def test_item_longer_than_any_document(spark):
+    """Its diagonals lie far below zero in a short text."""
+    r = random.Random(1)
+    long = " ".join("%06d" % r.randrange(10**6) for _ in range(6_000))
+    docs = spark.createDataFrame([(1, "x " + long[:5000]), (2, "so " + long), (3, "other text")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, long)], "item_id long, text string")
+    assert [(x.doc_id, x.edits) for x in decontam.contaminated(docs, bench).collect()] == [(2, 0)]
