@@ -79,7 +79,7 @@ def _prefix_code(bits: BitReader, alphabet: int) -> PrefixCode:
             space -= (total - run) * (32768 >> last)
         run = total
         if len(found) > alphabet:
-            raise corrupted("excessive number of code symbols")
+            raise corrupted("more code lengths than the alphabet has")
     if space or sum(1 for n in found if n) < 2:
         raise corrupted("the prefix code isn't complete")
     return PrefixCode(dict(enumerate(found)))

@@ -66,7 +66,7 @@ def rle1_decode(data: bytes) -> tuple[bytes, CodecError | None]:
     def grow(m: re.Match) -> bytes:
         nonlocal fault
         if not m[2]:
-            fault = corrupted("missing terminating run-length repeater")
+            fault = corrupted("four equal bytes end the data; their count is cut off")
             return m[0]
         return m[1] * (4 + m[2][0])
 
@@ -99,7 +99,7 @@ def bwt_decode(last: bytes, row: int) -> bytes:
     if not last:
         return b""
     if not 0 <= row < len(last):
-        raise corrupted(f"origin pointer {row} exceeds block size {len(last)}")
+        raise corrupted(f"the text is said to start at row {row} of {len(last)}")
     values = np.frombuffer(last, np.uint8)
     follow = np.argsort(values, kind="stable").tolist()
     out, at = bytearray(len(last)), row
@@ -138,7 +138,7 @@ def mtf_rle2_decode(symbols, alphabet: bytes, limit: int = 9 * BLOCK) -> bytes:
         if s in (0, 1):
             run, weight = run + weight * (s + 1), weight * 2
             if weight > 1 << 24 or len(out) + run > limit:
-                raise corrupted("run exceeds block size")
+                raise corrupted("a run is longer than a block may be; check where the data come from")
             continue
         if run:
             if not order:
@@ -148,7 +148,7 @@ def mtf_rle2_decode(symbols, alphabet: bytes, limit: int = 9 * BLOCK) -> bytes:
         if s is None:
             break
         if s - 1 >= len(order) or len(out) >= limit:
-            raise corrupted("invalid symbol" if s - 1 >= len(order) else "data exceeds block size")
+            raise corrupted("a place beyond the list of bytes in use" if s - 1 >= len(order) else "more bytes than the header's level allows")
         order.insert(0, order.pop(s - 1))
         out.append(order[0])
     return bytes(out)
@@ -194,11 +194,11 @@ class LooseCode:
         while code > self.last.get(n, -1):
             n += 1
             if n not in self.last:
-                raise corrupted("invalid prefix code")
+                raise corrupted("bits that no code of this table begins with")
             code = code << 1 | bits.read(1)
         at = code + self.shift[n]
         if not 0 <= at < len(self.symbols):
-            raise corrupted("invalid prefix code")
+            raise corrupted("bits that no code of this table begins with")
         return self.symbols[at]
 
 
@@ -207,7 +207,7 @@ def _code_lengths(bits: BitReader, count: int) -> list[int]:
     for _ in range(count):
         while True:
             if not 1 <= n <= LONGEST_CODE:
-                raise corrupted(f"invalid prefix bit-length: {n}")
+                raise corrupted(f"a code of {n} bits; 1 to {LONGEST_CODE} are possible")
             if not bits.read(1):
                 break
             n += -1 if bits.read(1) else 1
@@ -218,17 +218,17 @@ def _code_lengths(bits: BitReader, count: int) -> list[int]:
 def _symbols(bits: BitReader, used: int, limit: int) -> list[int]:
     count = used + 2
     if count < 3:
-        raise corrupted("not enough prefix symbols")
+        raise corrupted("the block says that no byte is in use")
     trees = bits.read(3)
     if not 2 <= trees <= 6:
-        raise corrupted(f"invalid number of prefix trees: {trees}")
+        raise corrupted(f"{trees} code tables; 2 to 6 are possible")
     order, chosen = list(range(trees)), []
     for _ in range(bits.read(15)):
         place = 0
         while place < 6 and bits.read(1):
             place += 1
         if place >= trees:
-            raise corrupted(f"invalid prefix tree selector: {place}")
+            raise corrupted(f"group {len(chosen)} asks for table {place} of {trees}")
         order.insert(0, order.pop(place))
         chosen.append(order[0])
     codes = [LooseCode(_code_lengths(bits, count)) for _ in range(trees)]
@@ -239,14 +239,14 @@ def _symbols(bits: BitReader, used: int, limit: int) -> list[int]:
             if symbol == count - 1:
                 return out
             if len(out) >= limit:
-                raise corrupted("number of prefix symbols exceeds block size")
+                raise corrupted("the block goes on beyond its level's size")
             out.append(symbol)
-    raise corrupted("not enough prefix tree selectors")
+    raise corrupted("the block's end mark is missing behind its last group")
 
 
 def _block(bits: BitReader, level: int) -> bytes:
     if bits.read(1):
-        raise CodecError(DEPRECATED, "block randomization is not supported")
+        raise CodecError(DEPRECATED, "written by a release before 0.9.5, which shuffled blocks; recode it with that")
     row, used = bits.read(24), bytearray()
     high = bits.read(16)
     for k in range(16):
@@ -255,7 +255,7 @@ def _block(bits: BitReader, level: int) -> bytes:
             used += bytes(16 * k + j for j in range(16) if low >> (15 - j) & 1)
     last = mtf_rle2_decode(_symbols(bits, len(used), level * BLOCK), bytes(used), level * BLOCK)
     if row >= len(last):
-        raise corrupted(f"origin pointer {row} exceeds block size {len(last)}")
+        raise corrupted(f"the text is said to start at row {row} of {len(last)}")
     return bwt_decode(last, row)
 
 
@@ -268,12 +268,12 @@ def decompress(data: bytes, most: int | None = None) -> tuple[bytes, int, CodecE
             if bits.done():
                 raise CodecError(UNEXPECTED_EOF, "no stream")
             if bits.read(16) != int.from_bytes(b"BZ", "big"):
-                raise corrupted("invalid stream magic")
+                raise corrupted("this isn't bzip2: it should begin with BZ")
             if (version := bits.read(8)) != ord("h"):
-                raise CodecError(DEPRECATED if version == ord("0") else CORRUPTED, "bzip1 format is not supported" if version == ord("0") else "invalid version")
+                raise CodecError(DEPRECATED if version == ord("0") else CORRUPTED, "the older bzip wrote this; recode it with that" if version == ord("0") else f"version byte {version} is unknown")
             level = bits.read(8) - ord("0")
             if not 1 <= level <= 9:
-                raise corrupted(f"invalid block size: {level}")
+                raise corrupted(f"level {level}; 1 to 9 are possible")
             total = 0
             while (magic := bits.read(32) << 16 | bits.read(16)) == BLOCK_MAGIC:
                 want = bits.read(32)
@@ -282,14 +282,14 @@ def decompress(data: bytes, most: int | None = None) -> tuple[bytes, int, CodecE
                 if fault:
                     raise fault
                 if crc32_msb(block) != want:
-                    raise corrupted("mismatching block checksum")
+                    raise corrupted("a block was read, but its CRC differs: some bit of it has flipped")
                 total = fold_crc(total, want)
                 if most is not None and len(out) > most:
                     raise CodecError("INVALID", f"more than {most} bytes of output")
             if magic != END_MAGIC:
-                raise corrupted("invalid block or footer magic")
+                raise corrupted("neither a block nor the end of the stream begins here")
             if bits.read(32) != total:
-                raise corrupted("mismatching stream checksum")
+                raise corrupted("all blocks are right, but not all of them are here in order")
             bits.align()
             streams += 1
     except CodecError as e:

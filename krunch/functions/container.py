@@ -98,7 +98,7 @@ class Writer:
         return bytes(self.out)
 
 
-def compress(data: bytes, chunk_size: int = 0, index_size: int = 0, level: int = 0) -> bytes:
+def pack(data: bytes, chunk_size: int = 0, index_size: int = 0, level: int = 0) -> bytes:
     """A whole stream. chunk_size 0: 256 KiB; below 0 is invalid."""
     if chunk_size < 0:
         raise CodecError(INVALID, f"chunk size {chunk_size}")

@@ -45,7 +45,7 @@ def _tables(bits: BitReader) -> tuple[PrefixCode, PrefixCode]:
         else:
             found += [0] * (bits.read(3) + 3 if symbol == 17 else bits.read(7) + 11)
     if len(found) > literals + distances:
-        raise corrupted("excessive number of code symbols")
+        raise corrupted("more code lengths than the header announced")
     return PrefixCode(dict(enumerate(found[:literals])), single=True), PrefixCode(dict(enumerate(found[literals:])), single=True)
 
 

@@ -62,7 +62,7 @@ def run_lengths(bits: list[int]) -> list[int]:
 def encode_block(data: bytes, final: str = NIL) -> bytes:
     h, inverted = code_length(*_count(data))
     if not h or len(data) > MOST:
-        raise CodecError(INVALID, "block too large to encode")
+        raise CodecError(INVALID, "these bytes don't fit one block; call encode(), which splits them")
     codes = 4 + 2 * (8 - h)
     out = BitWriter()
     out.write(MAGIC | (final == STREAM) | (codes - 4) << 13, 32)
@@ -109,13 +109,13 @@ def encode(data: bytes, final: str = META) -> bytes:
 def decode_block(bits: BitReader) -> tuple[bytes, str]:
     magic = bits.read(32)
     if magic & MASK != MAGIC:
-        raise corrupted("invalid meta magic value")
+        raise corrupted("no hidden data begin here")
     codes = 4 + (magic >> 13 & 15)
     header = codes >= 6
     for _ in range(codes - 6):
         header &= not bits.read(3)
     if bits.read(3) != 2 or bits.read(1) or not header:
-        raise corrupted("invalid meta header")
+        raise corrupted("an ordinary DEFLATE block, with a header that hidden data never have")
     h = 8 - (codes - 4) // 2
     found, quiet = [0], 0
     while len(found) < SYMBOLS:
@@ -134,21 +134,21 @@ def decode_block(bits: BitReader) -> tuple[bytes, str]:
         for k in range(size):
             quiet = 0 if value >> k & 1 else quiet + 1
             if quiet >= 8 and k == size - 1:
-                raise corrupted("invalid sequence of meta symbols")
+                raise corrupted("eight zero bits in a row, which could be taken for a block's begin")
         found += run
     if len(found) > SYMBOLS:
-        raise corrupted("excessive number of meta symbols")
+        raise corrupted("the last run goes beyond the 257 symbols")
     if sum(found) != 1 << h:
-        raise corrupted("degenerate meta prefix tree")
+        raise corrupted("the code lengths make no complete code")
     if not found[-1]:
-        raise corrupted("missing meta terminator symbol")
+        raise corrupted("the symbol that ends the block has no code")
     body = bytes(sum(found[8 * k + j] << j for j in range(8)) for k in range(SYMBOLS // 8))
     flags = body[0]
     final, inverted, size, stream = flags >> 1 & 1, flags >> 2 & 1, flags >> 3, magic & 1
     if stream and not final:
-        raise corrupted("invalid combination of final bits")
+        raise corrupted("the stream is said to end here, but not the hidden data")
     if bits.read(magic >> 3 & 7) or bits.read(1) or bits.read(h) != (1 << h) - 1 or bits.at % 8:
-        raise corrupted("invalid meta footer")
+        raise corrupted("something follows the symbols within the block, or it doesn't end with a byte")
     return bytes(b ^ 0xFF if inverted else b for b in body[1 : 1 + size]), (STREAM if stream else META) if final else NIL
 
 

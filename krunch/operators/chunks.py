@@ -27,7 +27,7 @@ def plan(streams: DataFrame, chunk: int = CHUNK, stream_id: str = "stream_id", d
     return rows.select("stream_id", "chunk_id", start.alias("raw_start"), F.least(start + chunk, F.octet_length("_data").cast("long")).alias("raw_end"), *raw)
 
 
-def compress(chunks: DataFrame, level: int = 0) -> DataFrame:
+def store(chunks: DataFrame, level: int = 0) -> DataFrame:
     """Adds comp: each chunk by itself, ended by a sync marker."""
     container.zlib_level(level)
     return chunks.withColumn("comp", transform(F.col("raw"), lambda x: container.compress_chunk(x, level), "binary"))

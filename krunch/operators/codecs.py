@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import brotli, bzip2, container, deflate
 from ..functions.errors import CORRUPTED, INVALID, UNEXPECTED_EOF, CodecError
 
-#: What a row may inflate to unless told otherwise.
-MOST = 1 << 28
+#: What a row may inflate to unless told otherwise; bytes of input given to a library that knows no limit at a time.
+MOST, _STEP = 1 << 28, 1 << 10
 RESULT = "struct<raw:binary,in_offset:bigint,out_offset:bigint,err:struct<code:string,pkg:string,msg:string>>"
 _ERR = pa.struct([("code", pa.string()), ("pkg", pa.string()), ("msg", pa.string())])
 _RESULT = pa.struct([("raw", pa.binary()), ("in_offset", pa.int64()), ("out_offset", pa.int64()), ("err", _ERR)])
@@ -124,14 +124,18 @@ def _unxz(data: bytes, most: int) -> Decoded:
 
 
 def _unzstd(data: bytes, most: int) -> Decoded:
-    made = zstandard.ZstdDecompressor().decompressobj()
+    """A step of the input inflates to 32 MB at most, as a block takes four bytes and gives 128 KB; so does what is held beyond the limit."""
+    made, out, at = zstandard.ZstdDecompressor().decompressobj(), bytearray(), 0
     try:
-        out = made.decompress(data)
+        while at < len(data) and not made.eof and len(out) <= most:
+            out += made.decompress(data[at : at + _STEP])
+            at += _STEP
     except zstandard.ZstdError as e:
-        return b"", 0, CodecError(CORRUPTED, str(e))
+        return bytes(out[:most]), min(at, len(data)), CodecError(CORRUPTED, str(e))
+    used = min(at, len(data)) - len(made.unused_data)
     if len(out) > most:
-        return out[:most], len(data), CodecError(INVALID, f"more than {most} bytes of output")
-    return (out, len(data) - len(made.unused_data), None) if made.eof else (out, len(data), CodecError(UNEXPECTED_EOF, "the input ends too early"))
+        return bytes(out[:most]), used, CodecError(INVALID, f"more than {most} bytes of output")
+    return (bytes(out), used, None) if made.eof else (bytes(out), len(data), CodecError(UNEXPECTED_EOF, "the input ends too early"))
 
 
 register(Codec("deflate/c", "deflate", 0, _deflate, _inflate))
@@ -142,7 +146,7 @@ register(Codec("brotli/c", "brotli", 0, lambda data, level: pa.Codec("brotli", _
 register(Codec("brotli/strict", "brotli", 1, None, brotli.decompress))
 register(Codec("xz/c", "xz", 0, lambda data, level: lzma.compress(data, preset=_level(level, 6)), _unxz))
 register(Codec("zstd/c", "zstd", 0, lambda data, level: zstandard.ZstdCompressor(level=_level(level, 3)).compress(data), _unzstd))
-register(Codec("chunked/own", "chunked", 0, lambda data, level: container.compress(data, level=level), container.decompress))
+register(Codec("chunked/own", "chunked", 0, lambda data, level: container.pack(data, level=level), container.decompress))
 #: A chunked stream is a DEFLATE stream too.
 register(Codec("chunked/inflate", "chunked", 1, None, _inflate))
 

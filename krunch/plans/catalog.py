@@ -119,7 +119,7 @@ _CHUNK_SQL = f"{_DOCS}, c AS (SELECT stream_id, c AS chunk_id, c * 4096 AS raw_s
 
 @query(f"WITH {_CHUNK_SQL} SELECT stream_id, CAST(chunk_id AS INT) AS chunk_id, raw_start, CAST(sum(raw_end - raw_start) OVER (PARTITION BY stream_id ORDER BY chunk_id) AS BIGINT) AS raw_end, true AS comp_grows FROM c")
 def chunk_index(spark, sf_dir):
-    made = chunks.compress(chunks.plan(text_streams(spark, sf_dir)))
+    made = chunks.store(chunks.plan(text_streams(spark, sf_dir)))
     found = chunks.index(made, F.octet_length("comp"), F.col("raw_end") - F.col("raw_start"))
     grows = chunks.with_starts(found.select("stream_id", "chunk_id", "raw_end", "comp_end"), "raw_end", "comp_end")
     return grows.select("stream_id", "chunk_id", "raw_start", "raw_end", (F.col("comp_end") > F.col("comp_start")).alias("comp_grows"))
@@ -146,7 +146,7 @@ def index_search(spark, sf_dir):
 
 @query(f"WITH {_DOCS} SELECT stream_id, (n + 4095) // 4096 AS n_chunks, n AS raw_size, true AS ok FROM s WHERE n > 0")
 def index_totals(spark, sf_dir):
-    made = chunks.compress(chunks.plan(text_streams(spark, sf_dir)))
+    made = chunks.store(chunks.plan(text_streams(spark, sf_dir)))
     found = chunks.totals(chunks.index(made, F.octet_length("comp"), F.col("raw_end") - F.col("raw_start")))
     return found.select("stream_id", "n_chunks", "raw_size", (F.col("comp_size") > 4 * F.col("n_chunks")).alias("ok"))
 
@@ -159,7 +159,7 @@ def index_flush(spark, sf_dir):
 @query(f"WITH {_DOCS} SELECT stream_id, (stream_id * 7919) % n AS \"offset\", 100 AS length, substring(hex(data), CAST(2 * ((stream_id * 7919) % n) + 1 AS BIGINT), 200) AS slice FROM s WHERE n > 0")
 def range_read(spark, sf_dir):
     streams = text_streams(spark, sf_dir).where(F.octet_length("data") > 0)
-    store = chunks.compress(chunks.plan(streams))
+    store = chunks.store(chunks.plan(streams))
     requests = streams.select("stream_id", F.pmod(F.col("stream_id") * 7919, F.octet_length("data")).cast("long").alias("offset"), F.lit(100).alias("length"))
     return chunks.read_ranges(requests, store).withColumn("slice", F.hex("slice"))
 
@@ -490,7 +490,7 @@ def word_transforms(spark, sf_dir):
 @query(f"WITH {_DOCS} SELECT stream_id, md5(data) AS raw_md5, (n + 1023) // 1024 AS n_chunks, (n + 3071) // 3072 AS n_indexes, true AS inflates FROM s WHERE n > 0")
 def container_roundtrip(spark, sf_dir):
     """Streams chunked, compressed, put together, indexed from their own bytes, and read back two ways."""
-    made = chunks.assemble(chunks.compress(chunks.plan(text_streams(spark, sf_dir), 1024)), 3)
+    made = chunks.assemble(chunks.store(chunks.plan(text_streams(spark, sf_dir), 1024)), 3)
     kinds = chunks.stored_index(made).groupBy("stream_id").agg(F.count_if(F.col("type") == container.DEFLATE).alias("n_chunks"), F.count_if(F.col("type") == container.INDEX).alias("n_indexes"))
     back = made.withColumn("r", decode(F.col("comp"), "chunked")).withColumn("z", decode(F.col("comp"), "deflate"))
     same = (F.col("z.raw") == F.col("r.raw")) & (F.col("z.in_offset") == F.octet_length("comp"))
@@ -588,5 +588,5 @@ def stream_chunks(spark, sf_dir):
     name = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{id(object())}"
     schema = table(spark, sf_dir, "documents").schema
     source = chunk_stream.read_table(spark, f"{sf_dir}/documents.parquet", schema).select(F.col("doc_id").alias("stream_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
-    chunk_stream.compress_stream(source, f"{name}/chunks", f"{name}/state", "stream_id", "data")
+    chunk_stream.store_stream(source, f"{name}/chunks", f"{name}/state", "stream_id", "data")
     return spark.read.parquet(f"{name}/chunks").select("stream_id", "chunk_id", "raw_start", "raw_end")

@@ -28,10 +28,10 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     return reader.option("pathGlobFilter", hadoop.getName()).parquet(str(hadoop.getParent()))
 
 
-def compress_stream(source: DataFrame, target: str, checkpoint: str, stream_id: str, data: str, chunk: int = chunks.CHUNK, compress: bool = True) -> None:
+def store_stream(source: DataFrame, target: str, checkpoint: str, stream_id: str, data: str, chunk: int = chunks.CHUNK, packed: bool = True) -> None:
     """Runs over all that has arrived and appends its chunks to the Parquet table at target, exactly once."""
     planned = chunks.plan(source, chunk, stream_id, data)
-    out = chunks.compress(planned).drop("raw") if compress else planned.drop("raw")
+    out = chunks.store(planned).drop("raw") if packed else planned.drop("raw")
     out.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", target).trigger(availableNow=True).outputMode("append").start().awaitTermination()
 
 

@@ -61,7 +61,7 @@ def test_chunks_and_ranges(spark, streams):
     plan = chunks.plan(streams, 100)
     got = {(r.stream_id, r.chunk_id): bytes(r.raw) for r in plan.collect()}
     assert got[4, 3] == ROWS[3][1][300:400] and (2, 0) not in got and (3, 0) not in got and len(got[4, 102]) == 40
-    store = chunks.compress(plan)
+    store = chunks.store(plan)
     requests = spark.createDataFrame([(4, 95, 10), (4, 0, 0), (4, 99999, 5), (4, 10230, 100), (1, 3, 300), (9, 0, 5)], "stream_id long, offset long, length int")
     found = {(r.stream_id, r.offset): bytes(r.slice) for r in chunks.read_ranges(requests, store, 100).collect()}
     data = dict(ROWS)
@@ -69,7 +69,7 @@ def test_chunks_and_ranges(spark, streams):
 
 
 def test_assembled_streams(streams):
-    made = chunks.assemble(chunks.compress(chunks.plan(streams, 100)), 7)
+    made = chunks.assemble(chunks.store(chunks.plan(streams, 100)), 7)
     for r in made.collect():
         assert container.decompress(bytes(r.comp))[0] == dict(ROWS)[r.stream_id]
     index = chunks.stored_index(made).where("stream_id = 4 and type = 1").orderBy("record").collect()
@@ -158,7 +158,7 @@ def test_data_source(spark, tmp_path):
 def test_gzip_member_is_readable(spark, tmp_path):
     """A container inside a gzip member is read by Spark's own text reader."""
     text = b"line one\nline two\n" * 40
-    body = container.compress(text, 64)
+    body = container.pack(text, 64)
     member = b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + zlib.crc32(text).to_bytes(4, "little") + len(text).to_bytes(4, "little")
     (tmp_path / "x.gz").write_bytes(member)
     assert spark.read.text(str(tmp_path / "x.gz")).count() == 80
@@ -184,7 +184,7 @@ def test_stateful_inflate(spark, tmp_path):
 
 def test_plans(spark, streams):
     """What matters in a plan: pruned columns, one exchange for an index, no cartesian product for a search."""
-    text = chunks.index(chunks.compress(chunks.plan(streams)), F.octet_length("comp"), F.octet_length("raw"))._jdf.queryExecution().executedPlan().toString()
+    text = chunks.index(chunks.store(chunks.plan(streams)), F.octet_length("comp"), F.octet_length("raw"))._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1
     found = chunks.search(spark.createDataFrame([(1, 5)], "stream_id long, offset long"), chunks.plan(streams, keep_bytes=False))
     plan = found._jdf.queryExecution().executedPlan().toString()
@@ -208,3 +208,26 @@ def test_damage(streams):
         faults.first_difference(F.col("c"), F.col("c")).alias("none"),
     ).collect()[0]
     assert row.cut.err.code == "UNEXPECTED_EOF" and row.more.in_offset == row.n and row.at == 7919 % (8 * row.n) // 8 and row.none is None
+
+
+def test_range_symbol_keeps_equal_rows(spark):
+    from krunch.operators import dims
+
+    table = dims.ranges(spark).where("name = 'deflate_length'")
+    rows = spark.createDataFrame([(3,), (3,), (10,), (None,), (99999,)], "v long")
+    assert sorted((r.v or 0, r.sym) for r in dims.range_symbol(rows, table, "v").collect() if r.sym is not None) == [(3, 0), (3, 0), (10, 7)]
+    text = dims.range_symbol(rows, table, "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Join" not in text
+
+
+def test_zstd_bomb_is_held():
+    import zstandard
+
+    from krunch.operators import codecs
+
+    data = zstandard.ZstdCompressor().compress(bytes(64 << 20))
+    out, used, fault = codecs.codec("zstd").decode(data, 1000)
+    assert out == bytes(1000) and fault.code == "INVALID" and used <= len(data)
+    good = zstandard.ZstdCompressor().compress(b"abc" * 5000)
+    assert codecs.codec("zstd").decode(good + b"rest", 1 << 20) == (b"abc" * 5000, len(good), None)
+    assert codecs.codec("zstd").decode(good[:-3], 1 << 20)[2].code == "UNEXPECTED_EOF"

@@ -75,7 +75,7 @@ def test_cut_streams_give_a_prefix(data):
 @given(st.binary(min_size=1, max_size=120), st.randoms())
 @settings(max_examples=150, deadline=None)
 def test_damaged_streams_never_crash(data, r):
-    for comp, decode in ((zlib.compress(data)[2:-4], deflate.inflate), (bz2.compress(data), bzip2.decompress), (pa.Codec("brotli").compress(data, asbytes=True), brotli.decompress), (container.compress(data, 16, 3), container.decompress)):
+    for comp, decode in ((zlib.compress(data)[2:-4], deflate.inflate), (bz2.compress(data), bzip2.decompress), (pa.Codec("brotli").compress(data, asbytes=True), brotli.decompress), (container.pack(data, 16, 3), container.decompress)):
         spoilt = bytearray(comp)
         spoilt[r.randrange(len(spoilt))] ^= 1 << r.randrange(8)
         decode(bytes(spoilt), 1 << 20)
@@ -217,7 +217,7 @@ FOX = b"the quick brown fox jumped over the lazy dog"
 
 
 def test_container_index_and_ranges():
-    comp = container.compress(FOX, 4, 3)
+    comp = container.pack(FOX, 4, 3)
     records = container.read_index(comp)
     assert [r.type for r in records].count(container.DEFLATE) == 11 and [r.type for r in records].count(container.INDEX) == 4
     assert records[-1] == container.Record(len(comp), len(FOX), container.END)
@@ -263,14 +263,14 @@ def test_flushes_with_data():
 
 
 def test_empty_container():
-    assert container.compress(b"").hex() == "0d008705000048c82a51e8ff37dbf1"
-    assert container.decompress(container.compress(b"")) == (b"", 15, None)
+    assert container.pack(b"").hex() == "0d008705000048c82a51e8ff37dbf1"
+    assert container.decompress(container.pack(b"")) == (b"", 15, None)
 
 
 @given(texts, st.integers(1, 300), st.integers(-1, 5))
 @settings(max_examples=60, deadline=None)
 def test_containers_round_trip(data, chunk, index):
-    comp = container.compress(data, chunk, index)
+    comp = container.pack(data, chunk, index)
     assert container.decompress(comp) == (data, len(comp), None)
     made = zlib.decompressobj(-15)
     assert made.decompress(comp) == data and made.eof and not made.unused_data
@@ -279,7 +279,7 @@ def test_containers_round_trip(data, chunk, index):
 def test_nested_containers():
     data = FOX
     for _ in range(5):
-        data = container.compress(data, 64, 2)
+        data = container.pack(data, 64, 2)
     for _ in range(5):
         data, _, fault = container.decompress(data)
         assert fault is None
@@ -287,11 +287,11 @@ def test_nested_containers():
 
 
 def test_container_faults():
-    comp = container.compress(FOX, 4, 3)
+    comp = container.pack(FOX, 4, 3)
     for spoilt in (b"", b"abc", comp[:-1], comp[1:], comp[:20] + comp[30:]):
         assert container.decompress(spoilt)[2].code == "CORRUPTED"
     with pytest.raises(CodecError):
-        container.compress(FOX, -1)
+        container.pack(FOX, -1)
     with pytest.raises(CodecError):
         container.compress_chunk(FOX, 10)
 
