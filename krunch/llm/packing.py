@@ -75,8 +75,8 @@ class Index:
         if not lists:
             return []
         scores = np.bincount(np.concatenate([self.posting[x] for x in lists]), np.concatenate([self.posted[x] for x in lists]), self.size)
-        scores[used] = 0
-        found, most = np.flatnonzero(scores), max(count, CANDIDATES)
+        scores *= ~used
+        found, most = np.flatnonzero(scores > 0), max(count, CANDIDATES)
         if len(found) > most:
             found = np.sort(found[np.argpartition(-scores[found], most)[:most]])
         if not len(found):
@@ -89,10 +89,13 @@ class Index:
         """Scores of some documents for all terms of one."""
         ids = self.ids[self.bounds[doc] : self.bounds[doc + 1]]
         self.asked[ids] = self.df[ids] > 1
-        sizes = self.bounds[found + 1] - self.bounds[found]
-        starts = np.cumsum(sizes) - sizes
-        rows = np.repeat(self.bounds[found] - starts, sizes) + np.arange(int(sizes.sum()))
-        out = np.add.reduceat(self.weights[rows] * self.asked[self.ids[rows]], starts)
+        first, last = self.bounds[found], self.bounds[found + 1]
+        rows = [slice(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        shared = np.concatenate([self.ids[x] for x in rows])
+        sizes = last - first
+        hits = self.asked.take(shared, mode="clip")
+        hits *= np.concatenate([self.weights[x] for x in rows])
+        out = np.add.reduceat(hits, np.cumsum(sizes) - sizes)
         self.asked[ids] = 0
         return out
 
@@ -151,10 +154,16 @@ class Packer:
 
 def route(ids: np.ndarray) -> int:
     """A key by which near copies stand together: the least hash of a document's pairs of ids."""
+    if len(ids) < 2:
+        return 0
     wide = ids.astype(np.uint64)
     with np.errstate(over="ignore"):
-        h = (wide[:-1] * _MIX ^ (wide[1:] + np.uint64(7))) * _MIX
-    return int((h ^ h >> np.uint64(32)).min() >> np.uint64(1)) if len(h) else 0
+        h = wide[:-1] * _MIX
+        wide += np.uint64(7)
+        h ^= wide[1:]
+        h *= _MIX
+        h ^= h >> np.uint64(32)
+    return int(h.min() >> np.uint64(1))
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, shard: int = SHARD, partition: int = PARTITION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

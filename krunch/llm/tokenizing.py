@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Cached pieces; beyond that the cache starts anew. About 80 MB.
-CACHE = 400_000
+#: Cached pieces of a generation. Where it is full, a new one begins, into which those that are still met move from the one
+#: before; the one before that goes. Both together take some 50 MB.
+CACHE = 130_000
 #: Bytes of text gathered at once.
 BLOCK = 8 << 20
 _LONGEST = 48
@@ -47,10 +48,13 @@ class Encoder:
         special = [re.escape(x["content"]) for x in spec.get("added_tokens") or []]
         self.odd = "|".join([_ODD, *special]) + (_ODD_BLANKS if self.kind == "bytes" else "")
         self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         #: Of each id: whether it ends a word (word files) or begins one with a blank (byte-level files).
         self.border = np.zeros(self.vocabulary, bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.border[k] = token.endswith("</w>") if self.kind == "words" else token.startswith("Ġ")
+        #: The id of a line feed in byte-level files.
+        self.feed = self.tokenizer.token_to_id("Ċ") if self.kind == "bytes" else None
 
     @staticmethod
     def _kind(spec: dict) -> str | None:
@@ -68,21 +72,31 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
 
     def _words(self, pieces: list[str]) -> None:
-        """Caches the words of Latin letters among the pieces, encoded in one call and told apart by their border ids."""
-        lead, cache, words = " " if self.kind == "bytes" else "", self.cache, []
+        """Caches the words of Latin letters among the pieces, encoded 256 in a call and told apart by their border ids; in
+        byte-level files, words without a blank before them by line feeds between them."""
+        lead, led, bare = " " if self.kind == "bytes" else "", [], []
         for p in pieces:
-            if len(p) <= _LONGEST and p.startswith(lead) and _WORD.fullmatch(p, len(lead)):
-                words.append(p)
-        for at in range(0, len(words), 256):
-            some = words[at : at + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([("" if lead else " ").join(some)], add_special_tokens=False)[0].ids, "<u4")
-            marks = np.flatnonzero(self.border[ids])
-            ends = np.append(marks[1:], len(ids)) if lead else marks + 1
-            if len(ends) == len(some):  # else one by one, later
-                raw, start = ids.tobytes(), 0
-                for word, end in zip(some, (4 * ends).tolist(), strict=True):
-                    cache[word] = raw[start:end]
-                    start = end
+            if len(p) > _LONGEST:
+                continue
+            if p.startswith(lead) and _WORD.fullmatch(p, len(lead)):
+                led.append(p)
+            elif lead and _WORD.fullmatch(p):
+                bare.append(p)
+        for words, between in ((led, "" if lead else " "), (bare, "\n")):
+            for at in range(0, len(words), 256):
+                some = words[at : at + 256]
+                ids = np.array(self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, "<u4")
+                if words is bare:
+                    ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
+                    starts = np.append(0, ends[:-1] + 1)
+                else:
+                    marks = np.flatnonzero(self.border[ids])
+                    ends = np.append(marks[1:], len(ids)) if lead else marks + 1
+                    starts = np.append(0, ends[:-1])
+                if len(ends) == len(some):  # else one by one, later
+                    raw = ids.tobytes()
+                    for word, start, end in zip(some, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+                        self.cache[word] = raw[start:end]
 
     def _piece(self, piece: str) -> bytes:
         found = self.cache.get(piece)
@@ -103,10 +117,13 @@ class Encoder:
         coded = pieces.flatten().dictionary_encode()
         names, offsets = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.offsets.to_numpy().astype(np.int64)
         if len(self.cache) > CACHE:
-            self.cache = {"": b""}
+            self.cache, self.older = {"": b""}, self.cache
         found = list(map(self.cache.get, names))
         if None in found:
-            self._words([x for x, f in zip(names, found, strict=True) if f is None])
+            missed = [x for x, f in zip(names, found, strict=True) if f is None]
+            again = {x: f for x, f in zip(missed, map(self.older.get, missed), strict=True) if f is not None}
+            self.cache |= again
+            self._words([x for x in missed if x not in again])
             found = [self._piece(x) if f is None else f for x, f in zip(names, found, strict=True)]
         gathered = pa.array(found, pa.binary()).take(coded.indices)
         _, bounds, data = gathered.buffers()
