@@ -1,6 +1,7 @@
 """The stages of bzip2, each with its inverse, and a strict decoder made of them.
 
-The decoder returns what it decoded before a fault, which C libraries throw away with the block.
+The decoder returns what it decoded before a fault, which C libraries throw away with the block. The encoder puts the same
+stages together; its choice of code tables is its own.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from itertools import groupby
 
 import numpy as np
 
-from .bitstream import BitReader
+from .bitstream import BitReader, BitWriter
 from .checksums import crc32_msb, fold_crc
-from .errors import CORRUPTED, DEPRECATED, UNEXPECTED_EOF, CodecError, corrupted
+from .errors import CORRUPTED, DEPRECATED, INVALID, UNEXPECTED_EOF, CodecError, corrupted
+from .huffman import code_lengths
 
 #: Fixed values of the format.
 BLOCK, GROUP, LONGEST_CODE = 100_000, 50, 20
@@ -295,3 +297,112 @@ def decompress(data: bytes, most: int | None = None) -> tuple[bytes, int, CodecE
     except CodecError as e:
         return bytes(out), bits.offset(), e
     return bytes(out), bits.offset(), None
+
+
+#: Code tables by the number of groups of symbols, the longest code written, and how often tables and groups are fitted to each other.
+_TABLES, _LONGEST_WRITTEN, _ROUNDS = ((4, 2), (12, 3), (24, 4), (48, 5)), 17, 4
+
+
+def _fit(symbols: np.ndarray, size: int) -> tuple[list[list[int]], np.ndarray]:
+    """Code lengths of each table, and the table of each group of 50 symbols.
+
+    The tables start as equal shares of all symbols by number; then each group takes the table that codes it
+    shortest, and each table the lengths that suit its groups, in turn.
+    """
+    groups = -(-len(symbols) // GROUP)
+    counts = np.zeros((groups, size), np.int64)
+    np.add.at(counts, (np.arange(len(symbols)) // GROUP, symbols), 1)
+    tables = next((n for most, n in _TABLES if groups < most), 6)
+    share = np.cumsum(counts.sum(0)) * tables // (len(symbols) + 1)
+    lengths = np.where(share == np.arange(tables)[:, None], 1, _LONGEST_WRITTEN)
+    for _ in range(_ROUNDS):
+        chosen = np.argmin(counts @ lengths.T, axis=1)
+        lengths = np.array([code_lengths(counts[chosen == t].sum(0).tolist(), _LONGEST_WRITTEN) for t in range(tables)])
+    return lengths.tolist(), np.argmin(counts @ lengths.T, axis=1)
+
+
+def _values(lengths: list[int]) -> list[int]:
+    out, code, last = [0] * len(lengths), 0, 0
+    for n, symbol in sorted((n, s) for s, n in enumerate(lengths)):
+        code <<= n - last
+        out[symbol], code, last = code, code + 1, n
+    return out
+
+
+def _write_block(bits: BitWriter, block: bytes) -> None:
+    last, row = bwt_encode(block)
+    used = sorted(set(block))
+    symbols = np.array([*mtf_rle2_encode(last, bytes(used)), len(used) + 1])
+    bits.write(0, 1)
+    bits.write(row, 24)
+    bits.write(sum(1 << (15 - k) for k in {v >> 4 for v in used}), 16)
+    for k in sorted({v >> 4 for v in used}):
+        bits.write(sum(1 << (15 - (v & 15)) for v in used if v >> 4 == k), 16)
+    lengths, chosen = _fit(symbols, len(used) + 2)
+    bits.write(len(lengths), 3)
+    bits.write(len(chosen), 15)
+    order = list(range(len(lengths)))
+    for t in chosen.tolist():
+        place = order.index(t)
+        order.insert(0, order.pop(place))
+        bits.write((1 << place) - 1 << 1, place + 1)
+    for table in lengths:
+        now = table[0]
+        bits.write(now, 5)
+        for n in table:
+            for _ in range(abs(n - now)):
+                bits.write(0b10 if n > now else 0b11, 2)
+            bits.write(0, 1)
+            now = n
+    codes = [list(zip(_values(table), table, strict=True)) for table in lengths]
+    for k, symbol in enumerate(symbols.tolist()):
+        bits.write(*codes[chosen[k // GROUP]][symbol])
+
+
+def encode(data: bytes, level: int = 6) -> bytes:
+    """One stream, of blocks of at most level times 100,000 bytes after the first run lengths. Empty data make a stream without a block."""
+    if not 1 <= level <= 9:
+        raise CodecError(INVALID, f"level {level}; 1 to 9 are possible")
+    bits, total, at = BitWriter(big=True), 0, 0
+    bits.write(int.from_bytes(b"BZh%d" % level, "big"), 32)
+    while at < len(data):
+        # five bytes can stand for 255
+        block, taken, _ = rle1_encode(data[at : at + 51 * level * BLOCK], level * BLOCK)
+        crc = crc32_msb(data[at : at + taken])
+        bits.write(BLOCK_MAGIC, 48)
+        bits.write(crc, 32)
+        _write_block(bits, block)
+        total, at = fold_crc(total, crc), at + taken
+    bits.write(END_MAGIC, 48)
+    bits.write(total, 32)
+    return bits.bytes()
+
+
+def mend(data: bytes) -> bytes:
+    """A stream of damaged blocks with the CRCs that they decode to, so that faults behind the checksum can be looked for.
+
+    Blocks must decode; only the first stream is looked at. What is no stream comes back as it is.
+    """
+    bits, out, total = BitReader(data, big=True), bytearray(data), 0
+
+    def put(at: int, value: int) -> None:
+        first, last = at >> 3, (at + 39) >> 3
+        old = int.from_bytes(out[first:last], "big")
+        shift = 8 * (last - first) - (at & 7) - 32
+        out[first:last] = (old & ~(0xFFFFFFFF << shift) | value << shift).to_bytes(last - first, "big")
+
+    try:
+        level = bits.read(32) & 15
+        while (magic := bits.read(32) << 16 | bits.read(16)) == BLOCK_MAGIC:
+            at = bits.at
+            bits.read(32)
+            crc = crc32_msb(rle1_decode(_block(bits, level))[0])
+            put(at, crc)
+            total = fold_crc(total, crc)
+        if magic == END_MAGIC:
+            at = bits.at
+            bits.read(32)
+            put(at, total)
+    except CodecError:
+        pass
+    return bytes(out)

@@ -7,6 +7,7 @@ that one is; it and the footer are written as meta blocks, which inflate to noth
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from . import deflate, meta
@@ -168,9 +169,8 @@ class StreamWriter:
         return self.whole
 
 
-def decode_footer(data: bytes) -> tuple[int, int]:
-    """(place of the footer, size of the last index)."""
-    tail = data[-TAIL:]
+def decode_footer(tail: bytes, size: int) -> tuple[int, int]:
+    """(place of the footer, size of the last index), from the last bytes of a stream of some size."""
     at = meta.reverse_search(tail)
     if at < 0:
         raise corrupted("no footer")
@@ -186,14 +186,14 @@ def decode_footer(data: bytes) -> tuple[int, int]:
         raise corrupted(e.msg) from e
     if place != len(body):
         raise corrupted("invalid footer")
-    return len(data) - len(tail) + at, back
+    return size - len(tail) + at, back
 
 
-def decode_index(data: bytes, start: int, end: int) -> tuple[list[tuple[int, int]], int]:
-    """(sizes, size of the index before) of the index that lies there."""
+def decode_index(data: bytes) -> tuple[list[tuple[int, int]], int]:
+    """(sizes, size of the index before) of an index."""
     try:
-        body, final, stop = meta.decode(data[start:end])
-        if final != meta.META or stop != end - start or len(body) < 4:
+        body, final, stop = meta.decode(data)
+        if final != meta.META or stop != len(data) or len(body) < 4:
             raise corrupted("invalid index")
         if zlib.crc32(body[:-4]) != int.from_bytes(body[-4:], "little"):
             raise corrupted("mismatching index checksum")
@@ -224,8 +224,13 @@ class Record:
 
 
 def read_index(data: bytes) -> list[Record]:
-    """Records of all chunks, indexes and the footer, from the stream's own indexes, walked from the last to the first."""
-    footer, back = decode_footer(data)
+    """Records of all chunks, indexes and the footer, from the stream's own indexes."""
+    return open_index(lambda start, end: data[start:end], len(data))
+
+
+def open_index(read: Callable[[int, int], bytes], size: int) -> list[Record]:
+    """The same of a stream of which only its footer and its indexes are read, from the last to the first."""
+    footer, back = decode_footer(read(max(0, size - TAIL), size), size)
     parts, end = [], footer
     while True:
         start = end - back
@@ -233,20 +238,20 @@ def read_index(data: bytes) -> list[Record]:
             raise corrupted("indexes don't reach the start")
         if not back:
             break
-        sizes, before = decode_index(data, start, end)
+        sizes, before = decode_index(read(start, end))
         first = start - sum(c for c, _ in sizes)
         if first < 0:
             raise corrupted("indexes don't reach the start")
         parts.append((sizes, back))
         end, back = first, before
     out, comp, raw = [], 0, 0
-    for sizes, size in reversed(parts):
+    for sizes, own in reversed(parts):
         for c, r in sizes:
             comp, raw = comp + c, raw + r
             out.append(Record(comp, raw, DEFLATE))
-        comp += size
+        comp += own
         out.append(Record(comp, raw, INDEX))
-    out.append(Record(len(data), raw, END))
+    out.append(Record(size, raw, END))
     return out
 
 

@@ -141,7 +141,7 @@ def _unzstd(data: bytes, most: int) -> Decoded:
 register(Codec("deflate/c", "deflate", 0, _deflate, _inflate))
 register(Codec("deflate/strict", "deflate", 1, None, deflate.inflate))
 register(Codec("bzip2/c", "bzip2", 0, lambda data, level: bz2.compress(data, _level(level, 6)), _bunzip2))
-register(Codec("bzip2/strict", "bzip2", 1, None, bzip2.decompress))
+register(Codec("bzip2/strict", "bzip2", 1, lambda data, level: bzip2.encode(data, _level(level, 6)), bzip2.decompress))
 register(Codec("brotli/c", "brotli", 0, lambda data, level: pa.Codec("brotli", _level(level, 6)).compress(data, asbytes=True), _unbrotli))
 register(Codec("brotli/strict", "brotli", 1, None, brotli.decompress))
 register(Codec("xz/c", "xz", 0, lambda data, level: lzma.compress(data, preset=_level(level, 6)), _unxz))
@@ -151,11 +151,18 @@ register(Codec("chunked/own", "chunked", 0, lambda data, level: container.pack(d
 register(Codec("chunked/inflate", "chunked", 1, None, _inflate))
 
 
-def safe_decode(used: Codec, data: bytes | None, most: int) -> dict | None:
-    if data is None:
-        return None
-    raw, consumed, fault = used.decode(data, most)
-    return {"raw": raw, "in_offset": consumed, "out_offset": len(raw), "err": fault.row(used.format) if fault else None}
+def decoded(used: Codec, column: pa.Array, most: int) -> pa.Array:
+    """The results of a batch, its child arrays built apart: raw bytes are copied once."""
+    raws, ins, outs, faults, gone = [], [], [], [], []
+    for data in column.to_pylist():
+        raw, consumed, fault = (None, None, None) if data is None else used.decode(data, most)
+        raws.append(raw)
+        ins.append(consumed)
+        outs.append(None if raw is None else len(raw))
+        faults.append(fault.row(used.format) if fault else None)
+        gone.append(data is None)
+    children = [pa.array(x, f.type) for x, f in zip((raws, ins, outs, faults), _RESULT, strict=True)]
+    return pa.StructArray.from_arrays(children, fields=list(_RESULT), mask=pa.array(gone, pa.bool_()))
 
 
 def encode(data: Column, name: str, level: int = 0) -> Column:
@@ -180,7 +187,7 @@ def decode(data: Column, name: str, most: int = MOST) -> Column:
 
     @F.arrow_udf(RESULT)
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([safe_decode(used, x, most) for x in column.to_pylist()], _RESULT)
+        return decoded(used, column, most)
 
     return run(data.cast("binary"))
 
@@ -206,4 +213,4 @@ def register_sql(spark) -> None:
         if used.encode:
             spark.udf.register(f"{kind}_encode", F.arrow_udf(lambda column, used=used: pa.array([None if x is None else used.encode(x, 0) for x in column.to_pylist()], pa.binary()), "binary"))
         if used.decode:
-            spark.udf.register(f"{kind}_decode", F.arrow_udf(lambda column, used=used: pa.array([safe_decode(used, x, MOST) for x in column.to_pylist()], _RESULT), RESULT))
+            spark.udf.register(f"{kind}_decode", F.arrow_udf(lambda column, used=used: decoded(used, column, MOST), RESULT))

@@ -585,7 +585,11 @@ def stream_chunks(spark, sf_dir):
 
     from ..streaming import chunk_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp()
     name = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{id(object())}"
     schema = table(spark, sf_dir, "documents").schema
     source = chunk_stream.read_table(spark, f"{sf_dir}/documents.parquet", schema).select(F.col("doc_id").alias("stream_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))

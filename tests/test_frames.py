@@ -39,7 +39,7 @@ def test_levels_and_makers(streams):
     with pytest.raises(CodecError):
         encode(F.col("data"), "bzip2", 10)
     with pytest.raises(CodecError):
-        encode(F.col("data"), "bzip2/strict")
+        encode(F.col("data"), "brotli/strict")
     with pytest.raises(CodecError):
         decode(F.col("data"), "nothing")
 
@@ -149,10 +149,32 @@ def test_data_source(spark, tmp_path):
     assert b"".join(bytes(r.raw) for r in rows.orderBy("chunk_id").collect()) == b"".join(data)
     some = rows.where("raw_start >= 3000 and raw_end <= 6000")
     assert [r.chunk_id for r in some.orderBy("chunk_id").collect()] == [2, 3]
-    pruned = chunked.ChunkedReader([str(p) for p in (tmp_path / "out").glob("*.xf")])
+    pruned = chunked.ChunkedReader(str(tmp_path / "out"))
     from pyspark.sql.datasource import EqualTo
 
-    assert list(pruned.pushFilters([EqualTo(("chunk_id",), 5)])) == [] and [len(p.rows) for p in pruned.partitions()] == [1]
+    assert list(pruned.pushFilters([EqualTo(("chunk_id",), 5)])) == []
+    assert [b.num_rows for p in pruned.partitions() for b in pruned.read(p)] == [1]
+    split = chunked.ChunkedReader("file://" + str(tmp_path / "out"), 40)
+    found = [r for p in split.partitions() for b in split.read(p) for r in b.to_pylist()]
+    assert len(split.partitions()) > 3 and [r["chunk_id"] for r in found] == list(range(14)) and b"".join(r["raw"] for r in found) == b"".join(data)
+
+
+def test_opening_reads_little():
+    """At most a hundredth of the raw size to open, and a chunk at each end of what is sought."""
+    import random
+
+    data = random.Random(5).randbytes(1 << 20)
+    comp, asked = container.pack(data, 1 << 13, 16), []
+
+    def read(start, end):
+        asked.append(end - start)
+        return comp[start:end]
+
+    records = container.open_index(read, len(comp))
+    assert records == container.read_index(comp) and sum(asked) <= len(data) // 100
+    k = container.search(records, 500_000)
+    before, here = container.around(records, k)
+    assert container.inflate_chunk(comp[before.comp_end : here.comp_end]) == data[before.raw_end : here.raw_end]
 
 
 def test_gzip_member_is_readable(spark, tmp_path):
@@ -179,7 +201,35 @@ def test_stateful_inflate(spark, tmp_path):
     query.awaitTermination()
     rows = spark.sql("SELECT * FROM inflated").collect()
     assert b"".join(bytes(r.raw) for r in sorted(rows, key=lambda r: r.raw_start)) == b"a stream in three parts, of which the last comes later"
-    assert len(rows) == 3 and any(r.done for r in rows)
+    assert len(rows) == 3 and any(r.done for r in rows) and not any(r.err for r in rows)
+
+
+def test_faults_in_streams_are_values():
+    """A faulty stream gives what came before the fault, once; nothing is kept of it or of one that has ended."""
+    import pandas as pd
+
+    from krunch.streaming.chunk_stream import _Inflater
+
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    stored = b"\0\3\0\xfc\xffabc"
+    for tail, code in ((b"\x06", "CORRUPTED"), (b"\x03\0", None)):
+        made = _Inflater()
+        made.state = Held()
+        give = lambda k, part: [tuple(r) for f in made.handleInputRows((1,), iter([pd.DataFrame({"part": [k], "comp": [part]})]), None) for r in f.itertuples(index=False)]
+        assert give(0, stored) == [(1, 0, b"abc", False, None)]
+        assert give(1, tail) == [(1, 3, b"", code is None, code)]
+        assert made.state.value == (b"", 3, True) and give(2, b"more") == []
 
 
 def test_plans(spark, streams):

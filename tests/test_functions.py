@@ -337,3 +337,26 @@ def test_seek(move, want):
             container.seek(*move)
     else:
         assert container.seek(*move) == want
+
+
+@given(st.one_of(st.binary(max_size=3000), st.lists(st.sampled_from([b"the ", b"cat ", b"a" * 300, b"\0"]), max_size=400).map(b"".join)), st.integers(1, 9))
+@settings(max_examples=60, deadline=None)
+def test_bzip2_encoder(data, level):
+    comp = bzip2.encode(data, level)
+    assert bz2.decompress(comp) == data and bzip2.decompress(comp) == (data, len(comp), None)
+
+
+def test_bzip2_encoder_over_blocks():
+    data = b"".join(b"%d lines of text, %d\n" % (k, k * k % 977) for k in range(12000)) + b"x" * 70000
+    comp = bzip2.encode(data, 1)
+    assert bz2.decompress(comp) == data and len(comp) < 1.02 * len(bz2.compress(data, 1))
+    with pytest.raises(CodecError):
+        bzip2.encode(b"", 0)
+
+
+def test_mended_checksums():
+    comp = bytearray(bzip2.encode(b"hello world " * 50, 1))
+    comp[12] ^= 4
+    assert bzip2.decompress(bytes(comp))[2].code == "CORRUPTED"
+    assert bzip2.decompress(bzip2.mend(bytes(comp))) == (b"hello world " * 50, len(comp), None)
+    assert bzip2.mend(b"no stream") == b"no stream"
