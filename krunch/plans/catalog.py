@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, brotli_tables, container
+from ..functions.bitstream import BitWriter
 from ..functions.errors import is_corrupted, is_deprecated, is_truncated
 from ..operators import bench, chunks, dims, stages
 from ..operators.codecs import codec, decode, encode, transform
@@ -186,6 +187,49 @@ def roundtrip_bzip2(spark, sf_dir):
     return _round_trip(spark, sf_dir, "bzip2", 9)
 
 
+@query(_ROUND_SQL)
+def roundtrip_bzip2_strict(spark, sf_dir):
+    """The stages' own encoder, read by the library."""
+    streams = text_streams(spark, sf_dir).withColumn("comp", encode(F.col("data"), "bzip2/strict", 1))
+    found = streams.withColumn("r", decode(F.col("comp"), "bzip2/c"))
+    return found.select("stream_id", F.md5("r.raw").alias("raw_md5"), F.col("r.out_offset").alias("n"), (F.col("r.in_offset") == F.octet_length("comp")).alias("all_read"), F.col("r.err.code").alias("err"))
+
+
+def _stored(data: bytes) -> bytes:
+    """DEFLATE of stored blocks, the last of them empty."""
+    parts = [data[at : at + 0xFFFF] for at in range(0, len(data), 0xFFFF)]
+    return b"".join(b"\0" + len(p).to_bytes(2, "little") + (len(p) ^ 0xFFFF).to_bytes(2, "little") + p for p in parts) + container.END_BLOCK
+
+
+def _uncompressed(data: bytes) -> bytes:
+    """Brotli of uncompressed meta-blocks, a metadata block of five bytes before each."""
+    bits = BitWriter()
+    bits.write(0, 1)  # a window of 16 bits
+    for at in range(0, len(data), 1 << 16):
+        part = data[at : at + (1 << 16)]
+        for value, n in ((0, 1), (3, 2), (0, 1), (1, 2), (4, 8)):  # not last, no length, reserved, one byte of a length of 5
+            bits.write(value, n)
+        bits.align()
+        bits.write(int.from_bytes(b"notes", "little"), 40)
+        for value, n in ((0, 1), (0, 2), (len(part) - 1, 16), (1, 1)):  # not last, four nibbles of a length, uncompressed
+            bits.write(value, n)
+        bits.align()
+        bits.write(int.from_bytes(part, "little"), 8 * len(part))
+    bits.write(3, 2)  # last and empty
+    return bits.bytes()
+
+
+@query(f"WITH {_DOCS} SELECT stream_id, codec, md5(data) AS raw_md5, n, true AS all_read, CAST(NULL AS VARCHAR) AS err FROM s, (VALUES ('deflate/strict'), ('deflate/c'), ('brotli/strict'), ('brotli/c')) t(codec)")
+def stored_blocks(spark, sf_dir):
+    """Streams put together block by block from bytes left as they are, and metadata to skip."""
+    out = None
+    for name, make in (("deflate/strict", _stored), ("deflate/c", _stored), ("brotli/strict", _uncompressed), ("brotli/c", _uncompressed)):
+        rows = text_streams(spark, sf_dir).withColumn("comp", transform(F.col("data"), make, "binary")).withColumn("r", decode(F.col("comp"), name))
+        rows = rows.select("stream_id", F.lit(name).alias("codec"), F.md5("r.raw").alias("raw_md5"), F.col("r.out_offset").alias("n"), (F.col("r.in_offset") == F.octet_length("comp")).alias("all_read"), F.col("r.err.code").alias("err"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(_ROUND_SQL)
 def roundtrip_brotli(spark, sf_dir):
     return _round_trip(spark, sf_dir, "brotli")
@@ -233,12 +277,10 @@ def truncated_streams(spark, sf_dir):
     return out
 
 
-@query("SELECT part.p_partkey AS stream_id, 'brotli' AS codec, true AS truncated, true AS is_prefix FROM part")
+@query("SELECT doc_id AS stream_id, 'brotli' AS codec, true AS truncated, true AS is_prefix FROM documents")
 def truncated_brotli(spark, sf_dir):
-    names = text_streams(spark, sf_dir, "part", "p_partkey", "p_name").withColumn("comp", encode(F.col("data"), "brotli"))
-    cut = names.withColumn("r", decode(F.substring(F.col("comp"), F.lit(1), F.floor(F.octet_length("comp") / 2).cast("int")), "brotli"))
-    prefix = F.substring(F.col("data"), F.lit(1), F.col("r.out_offset").cast("int")) == F.col("r.raw")
-    return cut.select("stream_id", F.lit("brotli").alias("codec"), is_truncated("r").alias("truncated"), prefix.alias("is_prefix"))
+    """Whole texts, by the strict decoder: the library gives nothing of a stream that isn't whole."""
+    return _truncated(spark, sf_dir, "brotli")
 
 
 @query("""SELECT doc_id AS stream_id, fault, code, n_raw FROM documents, (VALUES ('deflate reserved block', 'CORRUPTED', 0), ('bzip2 magic', 'CORRUPTED', 0), ('bzip2 version 0', 'DEPRECATED', 0), ('bzip2 level 0', 'CORRUPTED', 0), ('brotli reserved window', 'CORRUPTED', 0), ('chunked without footer', 'CORRUPTED', 0), ('empty bzip2', 'UNEXPECTED_EOF', 0), ('empty brotli', 'UNEXPECTED_EOF', 0), ('empty chunked', 'CORRUPTED', 0)) t(fault, code, n_raw)""")
