@@ -57,22 +57,25 @@ def _clean() -> None:
 
 
 #: While a table is written, Spark drops each query's shuffle files as soon as it ends: what is written is the only copy needed.
-_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Batches for Python are no larger than the slices that are made of them: a larger one would be held twice for nothing.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
 
 
 @contextlib.contextmanager
-def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_DROP_SHUFFLES, None)
-    spark.conf.set(_DROP_SHUFFLES, "true")
+def writing(spark: SparkSession) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in _WRITING}
+    for name, value in _WRITING.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def write(df: DataFrame, path: str, *by: str) -> None:
     """df as Parquet at path, partitioned by the columns named."""
-    with dropping_shuffles(df.sparkSession):
+    with writing(df.sparkSession):
         df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, dropping_shuffles, pieces_of, sliced, write
+from .common import as_bytes, batch, writing, pieces_of, sliced, write
 from .tokenizing import encoder
 
 #: A chunk ends where the lowest bits of the rolling hash are ones: every 256 ids on average, behind 32 at least, 4096 at most.
@@ -195,7 +195,7 @@ def _has(spark: SparkSession, path: str) -> bool:
 def _write_log(rows: DataFrame, path: str, files: int) -> None:
     """Bucketed files have to be written as a table; only its entry in the catalog is dropped again, its files stay."""
     name = f"krunch_{uuid.uuid4().hex}"
-    with dropping_shuffles(rows.sparkSession):
+    with writing(rows.sparkSession):
         rows.write.option("compression", "zstd").partitionBy("kind").bucketBy(files, "key").option("path", f"{path}/log").saveAsTable(name)
     rows.sparkSession.sql(f"DROP TABLE {name}")
 
