@@ -52,20 +52,21 @@ _WORD = re.compile(r"\w+")
 
 
 def _shape(b: Block) -> tuple[str, ...]:
-    """Of a block's own text."""
-    text = b.text[:4096]  # what it is shows in its first lines; the text itself is never cut
-    n = len(b.text)
-    words = _WORD.findall(text)
+    """Of a block's own text, all of it."""
+    text, n = b.text, len(b.text)
+    words = capital = 0
+    for found in _WORD.finditer(text):  # one at a time: a block may be a whole book
+        words += 1
+        capital += text[found.start()].isupper()
     share = b.linked / n if n else 0
-    stops = len(_SENTENCE.findall(text))
-    capital = sum(w[:1].isupper() for w in words)
+    stops = sum(1 for _ in _SENTENCE.finditer(text))
     return (
         f"size:{min(6, n.bit_length() // 2)}",
         f"links:{0 if share == 0 else 1 if share < 0.5 else 2}",
         f"stops:{min(3, stops)}",
         f"ends:{int(text[-1:] in '.!?…。！？')}",
-        f"words:{min(5, len(words).bit_length())}",
-        f"capitals:{0 if not words else 4 * capital // len(words)}",
+        f"words:{min(5, words.bit_length())}",
+        f"capitals:{0 if not words else 4 * capital // words}",
         *(("sign:copyright",) if "©" in text else ()),
         *(("sign:bar",) if "|" in text or "»" in text else ()),
     )

@@ -90,3 +90,11 @@ def test_made_pages(tables):
         found = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)
         body = re.sub(r"<[^>]*(>|\Z)", lambda m: "\0" if re.match(r"</?(p|h1|article)\b", m[0]) else " ", found[1]) if found else ""
         assert r.text == "\n\n".join(x for x in (" ".join(html.unescape(y).split()) for y in body.split("\0")) if x)
+
+
+@pytest.mark.parametrize("end,feature", [("© Example", "sign:copyright"), ("a | b", "sign:bar"), ("It ends here.", "ends:1"), ("One. Two. Three. Four", "stops:3"), ("Every Word Here Is Capital " * 400, "capitals:2")])
+def test_long_blocks_are_read_to_their_end(end, feature):
+    """What only shows behind the first thousands of characters counts as it does in a short block."""
+    long = html_blocks.blocks("<p>" + "word " * 1500 + end)
+    assert feature in html_crf.features(long)[0]
+    assert feature not in html_crf.features(html_blocks.blocks("<p>" + "word " * 1500 + "word"))[0]
