@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,6 @@ BLOCK = 8 << 20
 _LONGEST = 48
 _TAIL = ".,;:!?$%&*#"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_WORD = re.compile(f"[{_LETTERS}]+")
 _ODD = r"[\x1c-\x1f]|<\|"
 #: For byte-level files: white space that isn't one blank, or one line feed, between other characters. The library's \s is that of
 #: Unicode, while Arrow's is that of ASCII, so the class is spelt out.
@@ -74,15 +74,10 @@ class Encoder:
     def _words(self, pieces: list[str]) -> None:
         """Caches the words of Latin letters among the pieces, encoded 256 in a call and told apart by their border ids; in
         byte-level files, words without a blank before them by line feeds between them."""
-        lead, led, bare = " " if self.kind == "bytes" else "", [], []
-        for p in pieces:
-            if len(p) > _LONGEST:
-                continue
-            if p.startswith(lead) and _WORD.fullmatch(p, len(lead)):
-                led.append(p)
-            elif lead and _WORD.fullmatch(p):
-                bare.append(p)
-        for words, between in ((led, "" if lead else " "), (bare, "\n")):
+        lead, every = " " if self.kind == "bytes" else "", pa.array(pieces, pa.string())
+        short = pc.less_equal(pc.utf8_length(every), _LONGEST)
+        led, bare = (list(compress(pieces, pc.and_(short, pc.match_substring_regex(every, rf"\A{x}[{_LETTERS}]+\z")).to_numpy(zero_copy_only=False).tolist())) for x in (lead, ""))
+        for words, between in ((led, "" if lead else " "), (bare if lead else [], "\n")):
             for at in range(0, len(words), 256):
                 some = words[at : at + 256]
                 ids = np.array(self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -95,13 +90,10 @@ class Encoder:
                     starts = np.append(0, ends[:-1])
                 if len(ends) == len(some):  # else one by one, later
                     raw = ids.tobytes()
-                    for word, start, end in zip(some, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
-                        self.cache[word] = raw[start:end]
+                    self.cache.update(zip(some, [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
 
     def _piece(self, piece: str) -> bytes:
-        found = self.cache.get(piece)
-        if found is None:
-            found = self.whole(piece)
+        found = self.whole(piece)
         if len(piece) <= _LONGEST:
             self.cache[piece] = found
         return found
@@ -121,10 +113,14 @@ class Encoder:
         found = list(map(self.cache.get, names))
         if None in found:
             missed = [x for x, f in zip(names, found, strict=True) if f is None]
-            again = {x: f for x, f in zip(missed, map(self.older.get, missed), strict=True) if f is not None}
-            self.cache |= again
-            self._words([x for x in missed if x not in again])
-            found = [self._piece(x) if f is None else f for x, f in zip(names, found, strict=True)]
+            if self.older:
+                again = {x: f for x, f in zip(missed, map(self.older.get, missed), strict=True) if f is not None}
+                self.cache |= again
+                missed = [x for x in missed if x not in again]
+            self._words(missed)
+            found = list(map(self.cache.get, names))
+            for k in [k for k, f in enumerate(found) if f is None]:
+                found[k] = self._piece(names[k])
         gathered = pa.array(found, pa.binary()).take(coded.indices)
         _, bounds, data = gathered.buffers()
         bounds = np.frombuffer(bounds, np.int32)[: len(gathered) + 1].astype(np.int64) // 4

@@ -125,3 +125,20 @@ def test_merkle():
     leaves = [bytes([k]) * 16 for k in range(7)]
     assert len({token_store.merkle(leaves[:k]) for k in range(8)}) == 8
     assert token_store.merkle(leaves[::-1]) != token_store.merkle(leaves)
+
+
+def test_words_at_the_limit_of_the_cache(byte_file, word_file):
+    """Pieces as long as the cache takes and longer ones, letters at the ends of their ranges, and words met twice."""
+    from tokenizers import Tokenizer
+
+    import pyarrow as pa
+    from krunch.llm.tokenizing import Encoder
+
+    words = [c * n for c in "aZÀÖØöøÿ×÷ß" for n in (1, 2, 46, 47, 48, 49, 50)]
+    texts = [" ".join(words), "\n".join(words), *words, " ".join(reversed(words)), None, ""]
+    for file in (byte_file, word_file):
+        enc, library = Encoder(file), Tokenizer.from_file(file)
+        for _ in range(2):
+            got = [x.tolist() for x in enc.encode(pa.array(texts))]
+            assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+            enc.cache, enc.older = {"": b""}, enc.cache
