@@ -142,3 +142,48 @@ def test_words_at_the_limit_of_the_cache(byte_file, word_file):
             got = [x.tolist() for x in enc.encode(pa.array(texts))]
             assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
             enc.cache, enc.older = {"": b""}, enc.cache
+
+
+class Counted:
+    """A tokenizer that counts the calls for its ids."""
+
+    def __init__(self, inner):
+        self.inner, self.calls = inner, 0
+
+    def encode(self, *args, **kw):
+        self.calls += 1
+        return self.inner.encode(*args, **kw)
+
+    def encode_batch_fast(self, *args, **kw):
+        self.calls += 1
+        return self.inner.encode_batch_fast(*args, **kw)
+
+
+@pytest.mark.parametrize("name", ["word_file", "byte_file"])
+def test_words_met_long_ago_are_not_encoded_again(name, request, monkeypatch):
+    """What takes the time of op5_packing: words that were thrown out after two generations of the cache."""
+    monkeypatch.setattr("krunch.llm.tokenizing.CACHE", 5)
+    monkeypatch.setattr("krunch.llm.tokenizing.BLOCK", 40)
+    path = request.getfixturevalue(name)
+    mine, library = Encoder(path), Tokenizer.from_file(path)
+    texts = [" ".join("thon" + chr(97 + j) + chr(97 + k) for k in range(26)) + "." for j in range(26)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in mine.encode(pa.array(texts))] == want
+    for held in [k for k, v in vars(mine).items() if isinstance(v, Tokenizer)]:
+        setattr(mine, held, Counted(getattr(mine, held)))
+    assert [x.tolist() for x in mine.encode(pa.array(texts))] == want
+    assert sum(v.calls for v in vars(mine).values() if isinstance(v, Counted)) < 5
+
+
+@pytest.mark.parametrize("name", ["word_file", "byte_file"])
+def test_pieces_of_one_place_and_of_the_tables_sizes(name, request, monkeypatch):
+    """Pieces that drive each other out of the table, zero bytes, and pieces as long, and of as many ids, as a row holds or more."""
+    monkeypatch.setattr("krunch.llm.tokenizing.SLOTS", 3, raising=False)
+    path = request.getfixturevalue(name)
+    mine, library = Encoder(path), Tokenizer.from_file(path)
+    sizes = [c * n for c in "aqé漢" for n in (1, 7, 8, 9, 10, 11, 12, 21, 22, 23, 24, 25)]
+    zeros = ["a", "a\0", "a\0\0", "\0", " \0", "\0" * 23, "\0" * 24]
+    texts = [*sizes, *zeros, *(" " + x for x in sizes), " ".join(sizes), "\n".join(sizes + zeros), "qzxj" * 5 + " " + "zqxjk" * 4, None, ""]
+    for _ in range(2):
+        for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["x", *texts]).slice(1)):
+            assert [x.tolist() for x in mine.encode(column)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
