@@ -50,6 +50,13 @@ def text_streams(spark: SparkSession, sf_dir: str, name: str = "documents", key:
     return table(spark, sf_dir, name).select(F.col(key).alias("stream_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("data"))
 
 
+def dealt(streams: DataFrame, size: int = 16 << 20) -> DataFrame:
+    """The streams dealt over all cores, in parts of about size bytes: files of few row groups would keep a few tasks busy."""
+    cores = streams.sparkSession.sparkContext.defaultParallelism
+    found = int(str(streams._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return streams.repartition(max(2 * cores, min(1 << 14, -(-found // size))))
+
+
 # Streams and bytes in SQL: b has the bytes of each stream as a list of hex pairs.
 _DOCS = "d AS (SELECT doc_id AS stream_id, encode(coalesce(text, '')) AS data FROM documents), s AS (SELECT stream_id, data, octet_length(data) AS n FROM d)"
 
@@ -190,7 +197,7 @@ def roundtrip_bzip2(spark, sf_dir):
 @query(_ROUND_SQL)
 def roundtrip_bzip2_strict(spark, sf_dir):
     """The stages' own encoder, read by the library."""
-    streams = text_streams(spark, sf_dir).withColumn("comp", encode(F.col("data"), "bzip2/strict", 1))
+    streams = dealt(text_streams(spark, sf_dir)).withColumn("comp", encode(F.col("data"), "bzip2/strict", 1))
     found = streams.withColumn("r", decode(F.col("comp"), "bzip2/c"))
     return found.select("stream_id", F.md5("r.raw").alias("raw_md5"), F.col("r.out_offset").alias("n"), (F.col("r.in_offset") == F.octet_length("comp")).alias("all_read"), F.col("r.err.code").alias("err"))
 

@@ -2,6 +2,7 @@
 
 import bz2
 import random
+import time
 import zlib
 
 import pyarrow as pa
@@ -360,3 +361,33 @@ def test_mended_checksums():
     assert bzip2.decompress(bytes(comp))[2].code == "CORRUPTED"
     assert bzip2.decompress(bzip2.mend(bytes(comp))) == (b"hello world " * 50, len(comp), None)
     assert bzip2.mend(b"no stream") == b"no stream"
+
+
+def test_bzip2_encoder_keeps_up():
+    """Short texts, as tables of documents have them, take less than forty steps of a loop a byte."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=400)).encode() for _ in range(20)]
+    began = time.process_time()
+    made = [bzip2.encode(x, 1) for x in texts]
+    middle = time.process_time()
+    for _ in range(40 * sum(map(len, texts))):
+        pass
+    assert middle - began < time.process_time() - middle
+    assert [bz2.decompress(x) for x in made] == texts
+
+
+@given(st.lists(st.integers(0, 30) | st.integers(0, 10**6), min_size=2, max_size=70))
+def test_code_lengths_by_both_ways(counts):
+    single = sorted(counts)
+    assert huffman._two_queues(single) == huffman._package_merge(single, len(counts))
+
+
+@given(st.binary(max_size=40), st.integers(1, 30), st.binary(max_size=3))
+def test_rotations_of_repeats(data, turns, rest):
+    whole = data * turns + rest
+    n = len(whole)
+    if n:
+        assert bzip2.rotations(whole).tolist() == sorted(range(n), key=lambda k: (whole[k:] + whole[:k], -k))
+    last, row = bzip2.bwt_encode(whole)
+    assert bzip2.bwt_decode(last, row) == whole
