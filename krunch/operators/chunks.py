@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import container
 from ..functions.errors import CodecError
-from .codecs import transform
+from .codecs import in_slices, transform
 
 CHUNK = 4096
 
@@ -102,7 +102,6 @@ def assemble(chunks: DataFrame, index_size: int = 0) -> DataFrame:
     """
     rows = chunks.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", (F.col("raw_end") - F.col("raw_start")).alias("size"), "comp"))).alias("parts"))
 
-    @F.arrow_udf("binary")
     def build(column: pa.Array) -> pa.Array:
         out = []
         for parts in column.to_pylist():
@@ -112,7 +111,7 @@ def assemble(chunks: DataFrame, index_size: int = 0) -> DataFrame:
             out.append(made.close())
         return pa.array(out, pa.binary())
 
-    return rows.select("stream_id", build("parts").alias("comp"))
+    return rows.select("stream_id", in_slices(build, "binary")("parts").alias("comp"))
 
 
 def stored_index(streams: DataFrame, stream_id: str = "stream_id", comp: str = "comp") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import bzip2, huffman, meta
 from ..functions.checksums import crc32_msb
 from ..functions.errors import CodecError
-from .codecs import transform
+from .codecs import in_slices, transform
 
 
 def histogram(streams: DataFrame, stream_id: str, data: str) -> DataFrame:
@@ -78,11 +78,10 @@ def bwt(data: Column) -> Column:
 
 
 def bwt_inverse(found: Column) -> Column:
-    @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
         return pa.array([None if x is None else bzip2.bwt_decode(x["bwt"], x["ptr"]) for x in column.to_pylist()], pa.binary())
 
-    return run(found)
+    return in_slices(run, "binary")(found)
 
 
 def mtf(data: Column) -> Column:

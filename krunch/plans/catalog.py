@@ -270,7 +270,7 @@ def codec_priority(spark, sf_dir):
 
 def _truncated(spark, sf_dir, name):
     """Each stream cut in half: a prefix of the text and the class of a short input."""
-    cut = text_streams(spark, sf_dir).withColumn("comp", encode(F.col("data"), name))
+    cut = dealt(text_streams(spark, sf_dir)).withColumn("comp", encode(F.col("data"), name))
     cut = cut.withColumn("r", decode(F.substring(F.col("comp"), F.lit(1), F.floor(F.octet_length("comp") / 2).cast("int")), name))
     prefix = F.substring(F.col("data"), F.lit(1), F.col("r.out_offset").cast("int")) == F.col("r.raw")
     return cut.select("stream_id", F.lit(name).alias("codec"), is_truncated("r").alias("truncated"), prefix.alias("is_prefix"))

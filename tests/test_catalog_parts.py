@@ -5,9 +5,25 @@ import pytest
 from krunch.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["roundtrip_bzip2_strict"])
+@pytest.mark.parametrize("name", ["roundtrip_bzip2_strict", "truncated_brotli"])
 def test_all_cores_work_on_one_file(spark, sf_dir, name):
     """The table is a file of one row group, which a scan leaves to one task."""
     frame = catalog.queries()[name](spark, sf_dir)
     rows = [x for x in frame.rdd.glom().map(len).collect() if x]
     assert len(rows) >= spark.sparkContext.defaultParallelism and max(rows) < sum(rows) / 2
+
+
+def test_batches_are_taken_in_slices(spark):
+    """A batch of 4000 rows of 2 KB is worked on and sent a megabyte at a time."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from krunch.operators.codecs import in_slices, slices
+
+    rows = spark.range(4000).coalesce(1).select("id", F.encode(F.repeat(F.lit("x"), 2000), "UTF-8").alias("data"))
+    size = in_slices(lambda c: pa.array([c.nbytes] * len(c), pa.int64()), "bigint")
+    found = rows.select("id", size("data").alias("n")).collect()
+    assert len(found) == 4000 and max(r.n for r in found) < 1_100_000
+    column = pa.array([b"a" * 3_000_000, None, b"", b"b" * 600_000, b"c" * 600_000, None])
+    assert [len(x) for x in slices(column)] == [1, 3, 2] and pa.concat_arrays(list(slices(column))).equals(column)
+    assert not list(slices(pa.array([], pa.binary())))

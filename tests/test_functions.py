@@ -391,3 +391,26 @@ def test_rotations_of_repeats(data, turns, rest):
         assert bzip2.rotations(whole).tolist() == sorted(range(n), key=lambda k: (whole[k:] + whole[:k], -k))
     last, row = bzip2.bwt_encode(whole)
     assert bzip2.bwt_decode(last, row) == whole
+
+
+@settings(max_examples=60)
+@given(texts | st.lists(st.sampled_from(["time ", "information about ", "the ", "of ", "ж"]), max_size=3000).map(lambda x: "".join(x).encode()), st.integers(0, 11), st.floats(0, 1))
+def test_cut_brotli_by_the_library(data, level, part):
+    """As much comes out as by the strict decoder, and it isn't asked."""
+    from krunch.operators import codecs
+
+    comp = pa.Codec("brotli", level).compress(data, asbytes=True)
+    cut = comp[: int(part * len(comp))]
+    strict, _, fault = brotli.decompress(cut)
+    raw, read, found = codecs._unbrotli(cut, codecs.MOST)
+    assert raw == strict and (found and found.code) == (fault and fault.code) and (not cut or read == len(cut))
+
+
+def test_cut_brotli_is_not_decoded_twice(monkeypatch):
+    from krunch.operators import codecs
+
+    monkeypatch.setattr(codecs.brotli, "decompress", None)
+    data = random.Random(3).randbytes(300_000)
+    comp = pa.Codec("brotli", 6).compress(data, asbytes=True)
+    raw, _, fault = codecs._unbrotli(comp[: len(comp) // 2], codecs.MOST)
+    assert fault.code == "UNEXPECTED_EOF" and 140_000 < len(raw) and data.startswith(raw)
