@@ -414,3 +414,19 @@ def test_cut_brotli_is_not_decoded_twice(monkeypatch):
     comp = pa.Codec("brotli", 6).compress(data, asbytes=True)
     raw, _, fault = codecs._unbrotli(comp[: len(comp) // 2], codecs.MOST)
     assert fault.code == "UNEXPECTED_EOF" and 140_000 < len(raw) and data.startswith(raw)
+
+
+def test_xz_of_short_rows_sets_up_little():
+    """Preset 9 has a dictionary of 64 MB; sixty short rows don't pay for it, and come out as large."""
+    import lzma
+
+    from krunch.operators.codecs import MOST, _unxz, _xz
+
+    rows = [b"row %d of some" % k * 9 for k in range(60)]
+    began = time.process_time()
+    made = [_xz(x, 9) for x in rows]
+    middle = time.process_time()
+    assert [len(x) for x in made] == [len(lzma.compress(x, preset=9)) for x in rows]
+    assert 3 * (middle - began) < time.process_time() - middle
+    assert [_unxz(x, MOST) for x in made] == [(x, len(c), None) for x, c in zip(rows, made, strict=True)]
+    assert _unxz(_xz(b"", 6), MOST)[0] == b""
