@@ -319,7 +319,7 @@ def trailing_data(spark, sf_dir):
     """What follows a stream isn't touched: the input offset is its end."""
     out = None
     for name in ("deflate", "zstd", "xz"):
-        rows = text_streams(spark, sf_dir).withColumn("comp", encode(F.col("data"), name))
+        rows = dealt(text_streams(spark, sf_dir)).withColumn("comp", encode(F.col("data"), name))
         rows = rows.withColumn("r", decode(F.concat(F.col("comp"), F.lit(b"\xff" * 7)), name))
         rows = rows.select("stream_id", F.lit(name).alias("codec"), F.col("r.out_offset").alias("n"), (F.octet_length("comp") + 7 - F.col("r.in_offset")).cast("int").alias("unread"))
         out = rows if out is None else out.unionByName(rows)
