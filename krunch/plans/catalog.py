@@ -549,7 +549,7 @@ def container_roundtrip(spark, sf_dir):
 
 @query("SELECT p_partkey AS stream_id, p_name AS raw, 'META' AS final, true AS all_read, 0 AS inflated FROM part")
 def meta_roundtrip(spark, sf_dir):
-    made = text_streams(spark, sf_dir, "part", "p_partkey", "p_name").withColumn("m", stages.meta_encode(F.col("data")))
+    made = dealt(text_streams(spark, sf_dir, "part", "p_partkey", "p_name")).withColumn("m", stages.meta_encode(F.col("data")))
     back = made.withColumn("r", stages.meta_decode(F.col("m"))).withColumn("z", decode(F.col("m"), "deflate"))
     return back.select("stream_id", F.decode("r.raw", "UTF-8").alias("raw"), "r.final", (F.col("r.in_offset") == F.octet_length("m")).alias("all_read"), F.col("z.out_offset").cast("int").alias("inflated"))
 

@@ -5,7 +5,7 @@ import pytest
 from krunch.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["roundtrip_bzip2_strict", "truncated_brotli", "truncated_streams", "trailing_data"])
+@pytest.mark.parametrize("name", ["roundtrip_bzip2_strict", "truncated_brotli", "truncated_streams", "trailing_data", "meta_roundtrip"])
 def test_all_cores_work_on_one_file(spark, sf_dir, name):
     """The table is a file of one row group, which a scan leaves to one task."""
     frame = catalog.queries()[name](spark, sf_dir)

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from krunch.functions import bitgen, brotli, brotli_tables, bzip2, checksums, container, deflate, huffman, lz, meta
+from krunch.functions.bitstream import BitReader
 from krunch.functions.errors import CodecError
 
 texts = st.one_of(st.binary(max_size=400), st.text("ab \n", max_size=600).map(str.encode), st.integers(0, 1200).map(lambda n: b"a" * n))
@@ -430,3 +431,30 @@ def test_xz_of_short_rows_sets_up_little():
     assert 3 * (middle - began) < time.process_time() - middle
     assert [_unxz(x, MOST) for x in made] == [(x, len(c), None) for x, c in zip(rows, made, strict=True)]
     assert _unxz(_xz(b"", 6), MOST)[0] == b""
+
+
+@given(st.binary(max_size=70), st.lists(st.integers(0, 2000), max_size=3), st.integers(0, 400))
+def test_meta_blocks_in_one_go(data, flips, keep):
+    """A block read as text is what the reader of bits makes of it, and only a block without fault is read so."""
+    comp = bytearray(meta.encode(data))
+    for k in flips:
+        comp[k % (8 * len(comp)) // 8] ^= 1 << k % 8
+    comp = bytes(comp[:keep])
+    found, bits = meta._whole_block(comp, 0), BitReader(comp)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(meta, "_whole_block", lambda *_: None)
+        if found:
+            assert meta.decode_block(bits) == found[:2] and bits.at == 8 * found[2]
+        else:
+            with pytest.raises(CodecError):
+                meta.decode_block(bits)
+
+
+def test_meta_blocks_keep_up():
+    names = [b"part #%06d" % k for k in range(1500)]
+    began = time.process_time()
+    assert [meta.decode(meta.encode(x))[0] for x in names] == names
+    middle = time.process_time()
+    for _ in range(4000 * len(names)):
+        pass
+    assert middle - began < time.process_time() - middle
