@@ -111,11 +111,11 @@ def assemble(chunks: DataFrame, index_size: int = 0) -> DataFrame:
             out.append(made.close())
         return pa.array(out, pa.binary())
 
-    return rows.select("stream_id", in_slices(build, "binary")("parts").alias("comp"))
+    return rows.select("stream_id", in_slices(build, "binary")(F.col("parts")).alias("comp"))
 
 
-def stored_index(streams: DataFrame, stream_id: str = "stream_id", comp: str = "comp") -> DataFrame:
-    """Records of the indexes inside whole streams: stream_id, record, type, comp_start, comp_end, raw_start, raw_end; err where a stream has none."""
+def stored_records(comp: Column) -> Column:
+    """struct(records, err): the records of the indexes inside a whole stream."""
     kind = "struct<records:array<struct<comp_end:bigint,raw_end:bigint,type:int>>,err:string>"
 
     def read(data: bytes) -> dict:
@@ -124,7 +124,12 @@ def stored_index(streams: DataFrame, stream_id: str = "stream_id", comp: str = "
         except CodecError as e:
             return {"records": [], "err": e.code}
 
-    found = streams.select(F.col(stream_id).alias("stream_id"), transform(F.col(comp), read, kind).alias("r"))
+    return transform(comp, read, kind)
+
+
+def stored_index(streams: DataFrame, stream_id: str = "stream_id", comp: str = "comp") -> DataFrame:
+    """Records of the indexes inside whole streams: stream_id, record, type, comp_start, comp_end, raw_start, raw_end; err where a stream has none."""
+    found = streams.select(F.col(stream_id).alias("stream_id"), stored_records(F.col(comp)).alias("r"))
     before = lambda name: F.when(F.col("record") > 0, F.get(F.col("r.records"), F.col("record") - 1)[name]).otherwise(0)
     rows = found.select("stream_id", "r", F.posexplode_outer("r.records").alias("record", "x"))
     return rows.select("stream_id", "record", F.col("x.type").alias("type"), before("comp_end").alias("comp_start"), F.col("x.comp_end").alias("comp_end"), before("raw_end").alias("raw_start"), F.col("x.raw_end").alias("raw_end"), F.col("r.err").alias("err"))

@@ -5,7 +5,7 @@ import pytest
 from krunch.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["roundtrip_bzip2_strict", "truncated_brotli", "truncated_streams", "trailing_data", "meta_roundtrip"])
+@pytest.mark.parametrize("name", ["roundtrip_bzip2_strict", "truncated_brotli", "truncated_streams", "trailing_data", "meta_roundtrip", "bwt_names", "bwt_documents"])
 def test_all_cores_work_on_one_file(spark, sf_dir, name):
     """The table is a file of one row group, which a scan leaves to one task."""
     frame = catalog.queries()[name](spark, sf_dir)
@@ -22,8 +22,27 @@ def test_batches_are_taken_in_slices(spark):
 
     rows = spark.range(4000).coalesce(1).select("id", F.encode(F.repeat(F.lit("x"), 2000), "UTF-8").alias("data"))
     size = in_slices(lambda c: pa.array([c.nbytes] * len(c), pa.int64()), "bigint")
-    found = rows.select("id", size("data").alias("n")).collect()
+    found = rows.select("id", size(F.col("data")).alias("n")).collect()
     assert len(found) == 4000 and max(r.n for r in found) < 1_100_000
     column = pa.array([b"a" * 3_000_000, None, b"", b"b" * 600_000, b"c" * 600_000, None])
     assert [len(x) for x in slices(column)] == [1, 3, 2] and pa.concat_arrays(list(slices(column))).equals(column)
     assert not list(slices(pa.array([], pa.binary())))
+
+
+def _evaluated(frame) -> list[str]:
+    """The Python functions of a plan, each with its argument."""
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    return [line.split("ArrowEvalPython [")[1].split("], [pythonUDF")[0] for line in plan.splitlines() if "ArrowEvalPython" in line]
+
+
+def test_containers_are_made_once(spark, sf_dir):
+    """Each is read three ways; a join of two of them, or functions of functions, would put every container together again."""
+    frame = catalog.queries()["container_roundtrip"](spark, sf_dir)
+    assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    found = _evaluated(frame)
+    assert len(found) == 5 and sum("parts#" in x for x in found) == 1 and not any("run(run(" in x or "collect_list" in x for x in found)
+
+
+def test_streams_are_encoded_once(spark, sf_dir):
+    found = _evaluated(catalog.queries()["roundtrip_brotli"](spark, sf_dir))
+    assert len(found) == 2 and sum("data#" in x for x in found) == 1 and not any("run(run(" in x for x in found)
