@@ -6,6 +6,8 @@ counts or orders symbols is an aggregate or a window.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -40,9 +42,13 @@ def histogram(streams: DataFrame, stream_id: str, data: str) -> DataFrame:
 
 def entropy(counts: DataFrame) -> DataFrame:
     """stream_id, n, used, bits: the information of each stream's bytes, which no code of single bytes can beat."""
+    return _shares(counts).groupBy("stream_id").agg(F.sum("cnt").alias("n"), F.count("*").alias("used"), F.sum("part").alias("bits"))
+
+
+def _shares(counts: DataFrame) -> DataFrame:
+    """Adds part: the information of all of a symbol's bytes."""
     total = F.sum("cnt").over(Window.partitionBy("stream_id"))
-    shares = counts.withColumn("total", total).withColumn("part", -F.col("cnt") * F.log2(F.col("cnt") / F.col("total")))
-    return shares.groupBy("stream_id").agg(F.sum("cnt").alias("n"), F.count("*").alias("used"), F.sum("part").alias("bits"))
+    return counts.withColumn("total", total).withColumn("part", -F.col("cnt") * F.log2(F.col("cnt") / F.col("total")))
 
 
 def rle1(data: Column) -> Column:
@@ -107,22 +113,44 @@ def fold_crcs(blocks: DataFrame, order: str, crc: str) -> DataFrame:
 
 
 def code_lengths(counts: DataFrame, limit: int = 15) -> DataFrame:
-    """counts (stream_id, sym, cnt) with len: optimal lengths of at most limit bits. A stream's symbols are 256 at most."""
+    """counts (stream_id, sym, cnt) with len: optimal lengths of at most limit bits. A stream's symbols are 256 at most.
+
+    Streams are sorted into partitions, not grouped: a task of its own for each, however short, would cost more than its code.
+    """
     schema = pa.schema([("stream_id", pa.int64()), ("sym", pa.int32()), ("cnt", pa.int64()), ("len", pa.int32())])
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.select(["stream_id", "sym", "cnt"]).sort_by("sym")
-        lengths = huffman.code_lengths(group["cnt"].to_pylist(), limit)
-        return group.append_column("len", pa.array(lengths, pa.int32())).cast(schema)
+    def coded(rows: pa.Table) -> pa.RecordBatch:
+        """Rows of whole streams, in order."""
+        ids, found = rows["stream_id"].to_pylist(), rows["cnt"].to_pylist()
+        lengths = [n for _, group in groupby(range(len(ids)), ids.__getitem__) for at in (list(group),) for n in huffman.code_lengths(found[at[0] : at[-1] + 1], limit)]
+        columns = [*(rows[name].combine_chunks() for name in schema.names[:3]), pa.array(lengths, pa.int32())]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) for c in columns], schema=schema)
 
-    return counts.groupBy("stream_id").applyInArrow(run, "stream_id long, sym int, cnt long, len int")
+    def run(batches):
+        held = schema.remove(3).empty_table()  # of a stream that may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.concat_tables([held, pa.Table.from_batches([b]).cast(schema.remove(3))])
+            ids = rows["stream_id"].to_pylist()
+            whole = len(ids)
+            while whole and ids[whole - 1] == ids[-1]:
+                whole -= 1
+            if whole:
+                yield coded(rows.slice(0, whole))
+            held = rows.slice(whole)
+        if held.num_rows:
+            yield coded(held)
+
+    dealt = counts.select("stream_id", "sym", "cnt").repartition("stream_id").sortWithinPartitions("stream_id", "sym")
+    return dealt.mapInArrow(run, "stream_id long, sym int, cnt long, len int")
 
 
 def code_cost(codes: DataFrame) -> DataFrame:
-    """stream_id, bits, kraft: the coded size, and whether the lengths fill the code space exactly (a lone symbol needs none)."""
+    """stream_id, bits, used, kraft: the coded size, and whether the lengths fill the code space exactly (a lone symbol needs none); with n and least, the entropy."""
     space = F.sum(F.expr("shiftleft(cast(1 as bigint), 27 - len)"))
     whole = (space == (1 << 27)) | ((F.count("*") == 1) & (F.max("len") == 0))
-    return codes.groupBy("stream_id").agg(F.sum(F.col("len") * F.col("cnt")).alias("bits"), F.count("*").alias("used"), whole.alias("kraft"))
+    return _shares(codes).groupBy("stream_id").agg(F.sum(F.col("len") * F.col("cnt")).alias("bits"), F.count("*").alias("used"), whole.alias("kraft"), F.sum("cnt").alias("n"), F.sum("part").alias("least"))
 
 
 def canonical(codes: DataFrame) -> DataFrame:

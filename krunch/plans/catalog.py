@@ -347,7 +347,7 @@ def entropy_bits(spark, sf_dir):
 
 
 def _codes(spark, sf_dir):
-    return stages.code_lengths(stages.histogram(text_streams(spark, sf_dir), "stream_id", "data"))
+    return stages.code_lengths(stages.histogram(dealt(text_streams(spark, sf_dir)), "stream_id", "data"))
 
 
 @query()
@@ -359,11 +359,9 @@ def huffman_lengths(spark, sf_dir):
 @query(f"WITH {_DOC_BYTES}, h AS (SELECT stream_id, v, count(*) AS cnt FROM b GROUP BY stream_id, v) SELECT stream_id, count(*) AS used, true AS kraft, true AS near_entropy FROM h GROUP BY stream_id")
 def kraft_check(spark, sf_dir):
     """Codes fill the code space and cost at most one bit a symbol more than the entropy."""
-    codes = _codes(spark, sf_dir)
-    cost = stages.code_cost(codes)
-    info = stages.entropy(codes.select("stream_id", "sym", "cnt")).select("stream_id", "n", F.col("bits").alias("least"))
+    cost = stages.code_cost(_codes(spark, sf_dir))
     near = (F.col("bits") >= F.col("least") - 1e-6) & (F.col("bits") <= F.col("least") + F.col("n"))
-    return cost.join(info, "stream_id").select("stream_id", "used", "kraft", near.alias("near_entropy"))
+    return cost.select("stream_id", "used", "kraft", near.alias("near_entropy"))
 
 
 # complete trees of every size: one code for each length and two of the longest, dealt to symbols in an order of its own
