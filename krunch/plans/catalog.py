@@ -176,7 +176,7 @@ def range_read(spark, sf_dir):
 
 
 def _round_trip(spark, sf_dir, name, level=0):
-    streams = text_streams(spark, sf_dir).withColumn("comp", encode(F.col("data"), name, level))
+    streams = dealt(text_streams(spark, sf_dir)).withColumn("comp", encode(F.col("data"), name, level))
     found = streams.withColumn("r", decode(F.col("comp"), name))
     return found.select("stream_id", F.md5("r.raw").alias("raw_md5"), F.col("r.out_offset").alias("n"), (F.col("r.in_offset") == F.octet_length("comp")).alias("all_read"), F.col("r.err.code").alias("err"))
 
