@@ -606,7 +606,7 @@ def layout_sizes(spark, sf_dir):
 @query(f"WITH {_DOCS} SELECT stream_id, (n + 1023) // 1024 AS n_chunks, true AS costs FROM s WHERE n > 4096")
 def chunking_cost(spark, sf_dir):
     """Chunks cost something against one stream: never less, for streams of several."""
-    found = bench.chunking_cost(text_streams(spark, sf_dir).where(F.octet_length("data") > 4096), "stream_id", "data", 1024)
+    found = bench.chunking_cost(dealt(text_streams(spark, sf_dir).where(F.octet_length("data") > 4096)), "stream_id", "data", 1024)
     return found.select("stream_id", "n_chunks", (F.col("chunked") > F.col("streamed")).alias("costs"))
 
 

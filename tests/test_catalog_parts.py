@@ -5,7 +5,7 @@ import pytest
 from krunch.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["roundtrip_bzip2_strict", "truncated_brotli", "truncated_streams", "trailing_data", "meta_roundtrip", "bwt_names", "bwt_documents"])
+@pytest.mark.parametrize("name", ["roundtrip_bzip2_strict", "truncated_brotli", "truncated_streams", "trailing_data", "meta_roundtrip", "bwt_names", "bwt_documents", "roundtrip_brotli", "chunking_cost", "corrupt_streams"])
 def test_all_cores_work_on_one_file(spark, sf_dir, name):
     """The table is a file of one row group, which a scan leaves to one task."""
     frame = catalog.queries()[name](spark, sf_dir)
@@ -46,3 +46,25 @@ def test_containers_are_made_once(spark, sf_dir):
 def test_streams_are_encoded_once(spark, sf_dir):
     found = _evaluated(catalog.queries()["roundtrip_brotli"](spark, sf_dir))
     assert len(found) == 2 and sum("data#" in x for x in found) == 1 and not any("run(run(" in x for x in found)
+
+
+def test_codes_of_streams_over_batches(spark):
+    """Streams that begin in one batch and end in another get the codes that they get alone, also one without an id; no group is a task of Python's."""
+    from krunch.functions import huffman
+    from krunch.operators import stages
+
+    rows = [(k or None, s, (k * 31 + s * s) % 97) for k in range(40) for s in range(1 + k % 7 * 40)]
+    counts = spark.createDataFrame(rows[::-1], "stream_id long, sym int, cnt long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "33")
+    try:
+        codes = stages.code_lengths(counts)
+        got = sorted((r.stream_id or 0, r.sym, r.cnt, r.len) for r in codes.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for k in range(40):
+        own = sorted((s, n) for i, s, n in rows if (i or 0) == k)
+        want += [(k, s, n, size) for (s, n), size in zip(own, huffman.code_lengths([n for _, n in own], 15), strict=True)]
+    assert got == want
+    assert "FlatMapGroups" not in codes._jdf.queryExecution().optimizedPlan().toString()
